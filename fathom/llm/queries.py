@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import encode, neardup
+from fathom.llm import encode, neardup, packing, scans, split
 from fathom.session import table
 
 
+CAPACITY = 2048
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "search_chunks").select("result_id", "document_id", "page_number", "text")
+    return split.split_oversized(chunks, "text")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pieces(spark, d).where("n_pieces > 1 and piece_no = 0").select("result_id")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = neardup.near_duplicate_pairs(table(spark, d, "search_chunks"), "result_id", "text")
     return pairs.select(F.col("a").alias("result_id_a"), F.col("b").alias("result_id_b"))
@@ -18,6 +30,14 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicate_groups(table(spark, d, "search_chunks"), "result_id", "text").withColumnRenamed("row_id", "result_id")
 
 
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    return scans.scan_noise(table(spark, d, "search_chunks"), "result_id", "document_id", "page_number", "chunk_id", "text")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_clean(spark, d).select("result_id", F.explode("kinds").alias("noise"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -26,5 +46,15 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return encode.decode(p8_ids(spark, d), "doc_id", "ids")
 
 
-QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
-SQL = {"p8_decoded": "select doc_id, coalesce(text, '') as text from documents"}
+def p9_packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = encode.token_counts(table(spark, d, "documents"), "doc_id", "text")
+    return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY)
+
+
+def p9_harmonic(spark: SparkSession, d: str) -> DataFrame:
+    sizes = encode.token_counts(table(spark, d, "documents"), "doc_id", "text").where(F.col("n_tokens").between(1, CAPACITY))
+    return packing.harmonic(sizes, "doc_id", "n_tokens", CAPACITY)
+
+
+QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_clean": p7_clean, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_packed": p9_packed, "p9_harmonic": p9_harmonic}
+SQL = {"p5_found": "select result_id from search_chunks where floor(length(text) / 4) > 1000", "p8_decoded": "select doc_id, coalesce(text, '') as text from documents"}
