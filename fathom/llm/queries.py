@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import encode, neardup, packing, scans, split
+from fathom.llm import cutoff, encode, neardup, packing, scans, split
 from fathom.session import table
 
 
@@ -56,5 +56,17 @@ def p9_harmonic(spark: SparkSession, d: str) -> DataFrame:
     return packing.harmonic(sizes, "doc_id", "n_tokens", CAPACITY)
 
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_clean": p7_clean, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_packed": p9_packed, "p9_harmonic": p9_harmonic}
+def p10_checked(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.cut_texts(table(spark, d, "documents"), "doc_id", "source", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_checked(spark, d).where("size(reasons) > 0").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.truncation_rates(p10_checked(spark, d), "source")
+
+
+QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_clean": p7_clean, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_packed": p9_packed, "p9_harmonic": p9_harmonic, "p10_found": p10_found, "p10_rates": p10_rates, "p10_checked": p10_checked}
 SQL = {"p5_found": "select result_id from search_chunks where floor(length(text) / 4) > 1000", "p8_decoded": "select doc_id, coalesce(text, '') as text from documents"}
