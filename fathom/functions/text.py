@@ -33,11 +33,20 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
 
 
+def once(value: Column, f) -> Column:  # noqa: ANN001
+    """f(value) with the value computed once per row: an expression inside a lambda is otherwise computed anew for every element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def char_shingles(c: Column, n: int = 3) -> Column:
-    """Distinct character n-grams of the lower-cased, collapsed text; shorter texts are their own shingle."""
+    """Distinct character n-grams of the lower-cased, collapsed text; shorter texts are their own shingle. Linear in the text."""
     t = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), BLANK, " "))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n))))
-    return F.when(F.length(t) < n, F.array(t)).otherwise(grams)
+
+    def grams(chars: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(chars) - n)
+        return F.when(F.size(chars) < n, F.array(F.array_join(chars, ""))).otherwise(F.array_distinct(F.transform(at, lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))))
+
+    return once(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), grams)
 
 
 # Words that don't count in the comparison of words.

@@ -67,7 +67,7 @@ def robots_verdicts(urls: DataFrame, url: str, rules: DataFrame) -> DataFrame:
     anything; allowing wins. Rules meet URLs by domain, so the join is an equi-join; each URL keeps one row."""
     u = urls.select(url).distinct().withColumn("_d", domain(F.col(url))).withColumn("_p", path(F.col(url)))
     r = rules.withColumn("_re", F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace("pattern", r"([.?+()\[\]{}|^$\\])", r"\\$1"), r"\*", ".*")))
-    hit = F.col("_p").rlike(F.col("_re"))
+    hit = F.rlike("_p", F.col("_re"))
     j = u.join(r, F.col("_d") == F.col("domain"), "left").groupBy(url).agg(
         F.bool_or(F.coalesce((F.col("kind") == "allow") & hit, F.lit(False))).alias("_a"), F.bool_or(F.coalesce((F.col("kind") == "disallow") & hit, F.lit(False))).alias("_x")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.functions.text import content_hash, content_words, hash_normal, jaccard
+from fathom.functions.text import content_hash, content_words, hash_normal, jaccard, once
 
 
 def hashed(df: DataFrame, text: str) -> DataFrame:
@@ -34,7 +34,7 @@ def dedup_stats(marked: DataFrame) -> DataFrame:
 
 def minhash(shingles: Column, seeds: int = 16) -> Column:
     """The least hash of a set under each of ``seeds`` hash functions; an empty set gives nulls."""
-    return F.transform(F.sequence(F.lit(0), F.lit(seeds - 1)), lambda s: F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, s))))
+    return once(shingles, lambda sh: F.transform(F.sequence(F.lit(0), F.lit(seeds - 1)), lambda s: F.array_min(F.transform(sh, lambda x: F.xxhash64(x, s)))))
 
 
 def fingerprint_similarity(a: Column, b: Column) -> Column:

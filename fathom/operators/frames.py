@@ -78,4 +78,5 @@ def first_success(runs: DataFrame, job: list[str], priority: str, ok: Column) ->
     """Of each job's sources in order of priority the first that succeeded, and those tried before."""
     w = Window.partitionBy(*job).orderBy(priority)
     tried = F.sum(F.when(ok, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return runs.withColumn("tried_before", F.row_number().over(w) - 1).where(ok & (F.coalesce(tried, F.lit(0)) == 0))
+    marked = runs.withColumns({"tried_before": F.row_number().over(w) - 1, "_won": F.coalesce(tried, F.lit(0))})
+    return marked.where(ok & (F.col("_won") == 0)).drop("_won")

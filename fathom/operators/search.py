@@ -31,12 +31,13 @@ def _few(queries: DataFrame) -> DataFrame:
 
 
 def vector_topk(corpus: DataFrame, key: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int = 10) -> DataFrame:
-    """(query, key, score, rank): the k nearest by cosine, ties by key. Norms are computed once per row."""
+    """(query, key, score, rank): the k nearest by cosine, ties by key."""
     d = lambda c: F.col(c).cast("array<double>")
-    unit = lambda c: F.transform(d(c), lambda x: F.try_divide(x, F.sqrt(_dot(d(c), d(c)))))
-    q = _few(queries.select(F.col(query).alias("query"), unit(query_vector).alias("_q")))
-    c = corpus.select(F.col(key), unit(vector).alias("_v"))
-    s = c.join(q, F.lit(True)).select("query", key, F.round(_dot(F.col("_v"), F.col("_q")), 6).alias("score")).where("score is not null")
+    norm = lambda c: F.sqrt(_dot(d(c), d(c)))
+    q = _few(queries.select(F.col(query).alias("query"), d(query_vector).alias("_q"), norm(query_vector).alias("_nq")))
+    c = corpus.select(F.col(key), d(vector).alias("_v"), norm(vector).alias("_nv"))
+    score = F.try_divide(_dot(F.col("_v"), F.col("_q")), F.col("_nv") * F.col("_nq"))
+    s = c.join(q, F.lit(True)).select("query", key, F.round(score, 6).alias("score")).where("score is not null")
     w = Window.partitionBy("query").orderBy(F.desc("score"), key)
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -62,3 +62,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p2_found": p2_found, "p2_table": p2_table, "p3_found": p3_found, "p3_grid": p3_grid, "p4_found": p4_found, "p4_instants": p4_instants}
+
+_GRID = """with r as (select feed_id, date, reading_id, case when isnan("10_year_breakeven_inflation") then null else "10_year_breakeven_inflation" end as v0, case when isnan("5y5y_forward_inflation") then null else "5y5y_forward_inflation" end as v1 from breakeven_readings where date is not null),
+d as (select feed_id, date::date as day, arg_max(v0, (date, reading_id)) filter (v0 is not null) as v0, arg_max(v1, (date, reading_id)) filter (v1 is not null) as v1 from r group by 1, 2),
+s as (select feed_id, unnest(generate_series(min(day), max(day), interval 1 day))::date as day from d group by 1),
+g as (select s.feed_id, s.day, v0, v1 from s left join d on s.day = d.day and s.feed_id is not distinct from d.feed_id where isodow(s.day) < 6),
+l as (select feed_id, '10_year_breakeven_inflation' as field, day, v0 as v from g union all select feed_id, '5y5y_forward_inflation', day, v1 from g),
+c as (select *, last_value(v ignore nulls) over (partition by feed_id, field order by day rows between 5 preceding and current row) as carried from l)
+select feed_id, field, strftime(day, '%Y-%m-%d') as grid_day, round(carried, 6) as value, case when v is not null then 'observed' when carried is not null then 'filled' else 'missing' end as status from c"""
+SQL = {"p3_grid": _GRID, "p3_found": f"select feed_id, field, grid_day from ({_GRID}) where status <> 'observed'"}

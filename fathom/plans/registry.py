@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.plans import dealt
+from fathom.plans import corpus, dealt, series
 
-MODULES = [dealt]
+MODULES = [dealt, series, corpus]
 
 
 def _all() -> list:

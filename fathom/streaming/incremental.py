@@ -79,26 +79,26 @@ def token_bucket(stream: DataFrame, user: str, at: str, rate: float, capacity: f
     return stream.groupBy(user).applyInPandasWithState(step, f"{user} {kinds[0]}, {at} {kinds[1]}, granted boolean, tokens double", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def token_bucket_trace(df: DataFrame, user: str, at: str, key: str, rate: float, capacity: float, block: str = "1 hour") -> DataFrame:
-    """(user, key, granted) of a finished log. A bucket is full again after capacity/rate seconds without events, so a user's log is cut
-    there; a busy stretch without such a pause is one group."""
+def token_bucket_trace(df: DataFrame, user: str, at: str, key: str, rate: float, capacity: float) -> DataFrame:
+    """(user, key, granted) of a finished log: a pass over rows sorted by user and time that holds one user's two numbers at a time, so no
+    user's log is ever gathered. Rows without a time are left out."""
     us = F.unix_micros(F.col(at).cast("timestamp"))
-    w = Window.partitionBy(user).orderBy("_us", key)
-    e = df.where(F.col(at).isNotNull()).select(F.col(user).alias("u"), F.col(key).alias("k"), us.alias("_us"))
-    w = Window.partitionBy("u").orderBy("_us", "k")
-    pause = F.col("_us") - F.lag("_us").over(w) >= F.lit(capacity / rate * 1e6)
-    e = e.withColumn("_new", F.when(pause, 1).otherwise(0)).withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["_us", "k"])
-        tokens, last, out = capacity, None, []
-        for t in g["_us"]:
-            tokens = min(capacity, tokens + ((t - last) / 1e6 * rate if last is not None else 0.0))
-            last = t
-            ok = tokens >= 1
-            tokens -= ok
-            out.append(ok)
-        return pd.DataFrame({"u": g["u"], "k": g["k"], "granted": out})
+    e = df.where(F.col(at).isNotNull()).select(F.col(user).alias("u"), F.col(key).alias("k"), us.alias("us")).repartition("u").sortWithinPartitions("u", "us", "k")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who: object = None
+        tokens, last = capacity, None
+        for b in batches:
+            granted = []
+            for u, t in zip(b["u"], b["us"]):
+                if u != who or last is None:
+                    who, tokens, last = u, capacity, t
+                tokens = min(capacity, tokens + (t - last) / 1e6 * rate)
+                last = t
+                ok = tokens >= 1
+                tokens -= ok
+                granted.append(ok)
+            yield pd.DataFrame({"u": b["u"], "k": b["k"], "granted": granted})
 
     kinds = df.schema[user].dataType.simpleString(), df.schema[key].dataType.simpleString()
-    return e.groupBy("u", "_g").applyInPandas(run, f"u {kinds[0]}, k {kinds[1]}, granted boolean").withColumnsRenamed({"u": user, "k": key})
+    return e.mapInPandas(run, f"u {kinds[0]}, k {kinds[1]}, granted boolean").withColumnsRenamed({"u": user, "k": key})
