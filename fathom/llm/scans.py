@@ -52,7 +52,7 @@ def fold(line: str) -> str:
     """A line as recognition can't tell it apart from its misreadings; standing numbers become one sign."""
     s = _NUMBER.sub("#", " ".join(line.lower().split()))
     s = s.translate(_ONE)
-    for a, b in (("li", "h"), ("el", "d"), ("rn", "m"), ("ii", "u"), ("vv", "w")):  # c is e by now, so cl is el
+    for a, b in (("ii", "u"), ("li", "h"), ("el", "d"), ("rn", "m"), ("vv", "w")):  # c is e by now, so cl is el
         s = s.replace(a, b)
     return s
 
@@ -95,7 +95,7 @@ class Words:
         for cand in dict.fromkeys((w, raw)):
             if len(cand) < self.least or len(cand) > 40 or not any(c.isalpha() for c in cand) or (n and w == raw and n >= 1000 * self.floor):
                 continue
-            need = self.ratio * max(n, self.floor if cand.isalpha() else 1)
+            need = self.ratio * max(n, self.floor - 1 if cand.isalpha() else 1)
             best = max(((self.counts.get(v, 0), v) for v in corrections(cand) if len(v) >= self.least), default=(0, ""))
             if best[0] >= max(need, 2) and (cand == w or n == 0):
                 out = best[1]
