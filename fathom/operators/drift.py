@@ -64,7 +64,14 @@ def file_profiles(fields: DataFrame) -> DataFrame:
     """(stream_id, file_no, path, n, kinds, values, shapes): bounded however large the file."""
     quoted = F.regexp_extract_all("value", F.lit(r'"((?:[^"\\]|\\.)+)"'), F.lit(1))
     parts = F.when(F.col("kind").isin("array", "object") & (F.size(quoted) > 0), quoted).otherwise(F.array("value"))
-    shape = lambda x: F.regexp_replace(F.regexp_replace(x, r"\p{L}+", "a"), r"\d+", "9")
+
+    def shape(x: Column) -> Column:
+        """Words to a, numbers to 9, mixtures to m; any run of words is two words, four and more parts are prose."""
+        x = F.regexp_replace(x, r"(?=[\p{L}\d]*\p{L})(?=[\p{L}\d]*\d)[\p{L}\d]+", "\u0001")
+        x = F.regexp_replace(F.regexp_replace(x, r"\p{L}+", "a"), r"\d+", "9")
+        prose = F.concat(F.lit("text"), F.regexp_extract(x, r"(\p{P}*)$", 1))
+        return F.when(F.size(F.split(x, " ")) >= 4, prose).otherwise(F.translate(F.regexp_replace(x, r"a(?:[\s,;:'’-]+a)+", "a a"), "\u0001", "m"))
+
     bucket = lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int")
     each = fields.select("stream_id", "file_no", "path", "kind", F.explode_outer(parts).alias("part"))
     sketch = each.groupBy("stream_id", "file_no", "path").agg(
@@ -75,7 +82,8 @@ def file_profiles(fields: DataFrame) -> DataFrame:
     counts = fields.groupBy("stream_id", "file_no", "path").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds])
     best = F.greatest(*[f"n_{k}" for k in kinds])
     kind = F.coalesce(*[F.when((F.col(f"n_{k}") == best) & (best > 0), k) for k in sorted(kinds)])
-    return counts.select("stream_id", "file_no", "path", kind.alias("kind")).join(sketch, ["stream_id", "file_no", "path"])
+    filled = sum((F.col(f"n_{k}") for k in kinds), F.lit(0)).alias("n")
+    return counts.select("stream_id", "file_no", "path", kind.alias("kind"), filled).join(sketch, ["stream_id", "file_no", "path"])
 
 
 def _name_likeness(a: str, b: str) -> float:
@@ -144,9 +152,20 @@ def correspondences(old: list[dict], new: list[dict], accept: float = 0.4) -> li
             telling = same_kind and x["kind"] != "boolean" and min(len(x["vals"]), len(y["vals"])) >= 2
             # Two booleans, or two single values, agree by chance: enough only where no better pair is left.
             content = _overlap(x["vals"], y["vals"]) * (1.0 if telling else 0.42) if same_kind else 0.0
-            alike = _overlap(x["shapes"], y["shapes"]) if telling and x["kind"] == "string" and len(x["vals"]) > 2 else 0.0
+            # Values that hardly ever recur can't overlap; of them the shapes have to agree.
+            unique = telling and x["kind"] == "string" and all(f["n"] > 2 and len(f["vals"]) >= 0.75 * f["n"] for f in (x, y))
+            alike = _overlap(x["shapes"], y["shapes"]) if unique else 0.0
             kinds_differ = x["kind"] and y["kind"] and x["kind"] != y["kind"]
             own[i, j] = max(name * (0.75 if kinds_differ else 1.0), content, 0.45 * alike)
+    level = lambda p: p.rpartition(".")[0]
+    for i in gone:
+        for j in come:
+            x, y = old[i], new[j]
+            alone = sum(level(a_paths[k]) == level(x["path"]) for k in gone) == 1 == sum(level(b_paths[k]) == level(y["path"]) for k in come)
+            # The one field that goes and the one that comes, of one kind and shape: only values that recur can speak against them.
+            recurs = all(f["n"] >= 8 and len(f["vals"]) <= 0.5 * f["n"] for f in (x, y))
+            if alone and level(x["path"]) == level(y["path"]) and x["kind"] == y["kind"] and x["shapes"] & y["shapes"] and (x["vals"] & y["vals"] or not recurs):
+                own[i, j] = max(own[i, j], accept)
     start[1 : 1 + na, 1 : 1 + nb] = own
     (nest_a, type_a), (nest_b, type_b) = graph(old), graph(new)
     s = flood(start, [(nest_a, nest_b), (type_a, type_b)])[1 : 1 + na, 1 : 1 + nb]
@@ -166,9 +185,9 @@ def schema_changes(fields: DataFrame, files: DataFrame, accept: float = 0.4) ->
     pairs = files.where("stream_id is not null and file_no is not null").select("stream_id", F.col("file_no").cast("int").alias("file_no")).distinct()
     pairs = pairs.withColumn("next", F.lead("file_no").over(order)).withColumn("first", F.lag("file_no").over(order).isNull())
     prof = file_profiles(fields).join(pairs, ["stream_id", "file_no"])
-    new = prof.where("not first").select("stream_id", "file_no", F.lit(True).alias("is_new"), "path", "kind", "vals", "shapes")
-    old = prof.where("next is not null").select("stream_id", F.col("next").alias("file_no"), F.lit(False).alias("is_new"), "path", "kind", "vals", "shapes")
-    field = F.struct("path", "kind", "vals", "shapes")
+    new = prof.where("not first").select("stream_id", "file_no", F.lit(True).alias("is_new"), "path", "kind", "n", "vals", "shapes")
+    old = prof.where("next is not null").select("stream_id", F.col("next").alias("file_no"), F.lit(False).alias("is_new"), "path", "kind", "n", "vals", "shapes")
+    field = F.struct("path", "kind", "n", "vals", "shapes")
     sides = new.unionByName(old).groupBy("stream_id", "file_no").agg(
         F.array_sort(F.collect_list(F.when(~F.col("is_new"), field)), ).alias("old"), F.array_sort(F.collect_list(F.when(F.col("is_new"), field))).alias("new")
     )

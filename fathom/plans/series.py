@@ -43,13 +43,13 @@ LINES = "select l_shipdate::date as date, round(sum(l_extendedprice), 2) as line
 
 @query(f"""with o as ({ORDERS}) select date, 'ORDERS' as asset, 'total' as metric, orders_total::double as value from o
 union all select date, 'ORDERS', 'count', orders_count::double from o""")
-def p01_melt(spark: SparkSession, d: str) -> DataFrame:
+def frame_p01_melt(spark: SparkSession, d: str) -> DataFrame:
     return frames.to_long(_daily_orders(spark, d), "date", ["orders_total", "orders_count"])
 
 
 @query("""select ts::date as date, round(sum(value) filter (event_type = 'click'), 4) as click_value, round(sum(value) filter (event_type = 'purchase'), 4) as purchase_value,
 round(sum(value) filter (event_type = 'view'), 4) as view_value from events group by 1""")
-def p02_pivot(spark: SparkSession, d: str) -> DataFrame:
+def frame_p02_pivot(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").groupBy(F.to_date("ts").alias("date"), "event_type").agg(F.sum("value").alias("value"))
     e = e.withColumns({"metric": F.lit("value"), "nr": F.lit(1)})
     names = ["click_value", "purchase_value", "view_value"]
@@ -57,14 +57,14 @@ def p02_pivot(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""select ts as date, try_cast(json_extract_string(props, '$.k') as double) as k, round(value, 4) as value, event_id from events where ts is not null""")
-def p03_normalise(spark: SparkSession, d: str) -> DataFrame:
+def frame_p03_normalise(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     k = numbers.guarded_double(F.get_json_object("props", "$.k"))
     return frames.normalise(e, F.col("ts"), {"k": k}, ["value", "event_id"]).select("date", "k", F.round("value", 4).alias("value"), "event_id")
 
 
 @query(f"select *, year(date) as year, month(date) as month, day(date) as day from ({ORDERS})")
-def p05_calendar(spark: SparkSession, d: str) -> DataFrame:
+def frame_p05_calendar(spark: SparkSession, d: str) -> DataFrame:
     return frames.with_calendar(_daily_orders(spark, d), "date")
 
 

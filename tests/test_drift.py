@@ -39,6 +39,12 @@ def test_unrelated_fields_are_no_rename(spark):
     assert found(changes(spark, [a, b])[2]) == {(2, "removed", "note", ""), (2, "added", "", "count")}
 
 
+def test_values_that_never_recur_are_told_by_their_shape(spark):
+    a = [{"id": f"p{i}_r1", "text_preview": f"Of {w} words and the end..."} for i, w in enumerate("many few other long short".split())]
+    b = [{"id": f"p{i}_r1", "sentence": f"On {w}, a line that goes..."} for i, w in enumerate("top hills roads lakes trees".split())]
+    assert found(changes(spark, [a, b])[2]) == {(2, "renamed", "text_preview", "sentence")}
+
+
 def test_unreadable_null_and_empty(spark):
     a = [{"x": 1, "y": None}, '{"x": 1, "z', "[1]", "5"]
     b = [{"x": "1", "y": "late"}, {"x": "2"}]
@@ -61,6 +67,6 @@ def test_table_has_one_column_per_family(spark):
 
 
 def test_ties_are_consistent():
-    f = lambda p: {"path": p, "kind": "boolean", "vals": {1, 2}, "shapes": {1}}
+    f = lambda p: {"path": p, "kind": "boolean", "n": 5, "vals": {1, 2}, "shapes": {1}}
     got = correspondences([f("bold"), f("italic")], [f("is_italic"), f("is_bold")])
     assert sorted((i, j) for i, j, _ in got) == [(0, 1), (1, 0)]
