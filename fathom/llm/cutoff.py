@@ -31,7 +31,10 @@ from fathom.session import cut_lineage
 MARKER = re.compile(r"\s*(?:…|\[\s*(?:truncated|\.\.\.|…|cut|more)\s*\]|\(\s*(?:more|truncated|continued|cont\.?|\.\.\.|…)\s*\)|<\s*(?:truncated|snip|cut)\s*>|(?:read|show|see) more\s*(?:…|\.\.\.|»)?|\[?message clipped\]?)\s*$", re.I)
 BROKEN = re.compile(r"(?:�+|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|(?<!\\)\\|&#?[A-Za-z0-9]{1,8}|<(?:[/!]?[A-Za-z][^<>\n]{0,80})?|%[0-9A-Fa-f]?)$")
 END = re.compile(r"[.!?。！？‽][\"'”’»)\]*_`]*$")
-STRUCTURE = re.compile(r"^[^\S\n]*[\[{]", re.M)
+STRUCTURE = re.compile(r"(?:\A|\n)[^\S\n]*[\[{]")
+KEY = re.compile(r'"\s*:')
+BRACKET = re.compile("[()]")
+TAIL = 160  # longer than anything the patterns of the end can match
 PAIRS = {")": "(", "]": "[", "}": "{"}
 STANDING = [
     ("signature", re.compile(r"[—–-]{1,2}\s?\w[\w .]{0,30}\s\d+$")),
@@ -48,8 +51,10 @@ TITLE_WORDS = 8
 
 def open_structure(text: str) -> bool | None:
     """Whether JSON that starts in the text is still open at its end; None if there is no JSON."""
+    if '"' not in text:
+        return None
     m = STRUCTURE.search(text)
-    if not m or not re.search(r'"\s*:', text[m.start() :]):
+    if not m or not KEY.search(text, m.start()):
         return None
     stack: list[str] = []
     i, n = m.end() - 1, len(text)
@@ -79,19 +84,21 @@ def open_structure(text: str) -> bool | None:
 def unclosed(line: str) -> bool:
     """A bracket or a double quotation mark that a line opens and doesn't close."""
     depth = 0
-    for c in line:
-        if c == "(":
-            depth += 1
-        elif c == ")" and depth:
-            depth -= 1
+    if "(" in line:
+        for c in BRACKET.findall(line):
+            depth = depth + 1 if c == "(" else max(0, depth - 1)
     return depth > 0 or line.count("“") > line.count("”") or line.count("«") > line.count("»")
 
 
 def last_line(text: str) -> tuple[str, bool]:
     """The last line with content, and whether it stands alone in its paragraph (or its list)."""
-    lines = [x.strip() for x in re.split(r"\r\n|[\r\n]", text.rstrip())]
-    alone = len(lines) == 1 or not lines[-2] or bool(re.match(r"[-*•+|#]|```", lines[-2]))
-    return lines[-1], alone
+    t = text.rstrip()
+    cut = max(t.rfind("\n"), t.rfind("\r"))
+    if cut < 0:
+        return t.strip(), True
+    head = t[:cut].removesuffix("\r")
+    before = head[max(head.rfind("\n"), head.rfind("\r")) + 1 :].strip()
+    return t[cut + 1 :].strip(), not before or before[0] in "|#•+*-" or before.startswith("```")
 
 
 def standing_kind(line: str, alone: bool) -> str | None:
@@ -122,23 +129,23 @@ def look(text: str) -> tuple[list[str], str | None, list[str]]:
     if not t or (len(t) <= 8 and len(t.split()) == 1):
         return [], None, []
     reasons = []
-    if BROKEN.search(t):
+    if m := BROKEN.search(t[-TAIL:]):
         reasons.append("broken")
-        t = BROKEN.sub("", t)
-    m = MARKER.search(t)
-    if m and m.start() > 0:
-        t = t[: m.start()]
-        if not END.search(t.rstrip()):
+        t = t[: len(t) - len(m[0])]
+    m = MARKER.search(t[-TAIL:])
+    if m and len(m[0]) < len(t):
+        t = t[: len(t) - len(m[0])]
+        if not END.search(t[-TAIL:].rstrip()):
             reasons.append("marker")
     is_open = open_structure(t)
     if is_open is not None:
         return reasons + (["structure"] if is_open else []), None, []
     line, alone = last_line(t)
-    if sum(1 for x in re.split(r"\r\n|[\r\n]", t) if x.lstrip().startswith("```")) % 2:
+    if "```" in t and sum(1 for x in re.split(r"\r\n|[\r\n]", t) if x.lstrip().startswith("```")) % 2:
         reasons.append("fence")
     if unclosed(line):
         reasons.append("bracket")
-    if END.search(line):
+    if END.search(line[-TAIL:]):
         return reasons, None, []
     kind = standing_kind(line, alone)
     if kind is None:
@@ -161,7 +168,7 @@ def _statistics(docs: DataFrame) -> DataFrame:
                     total["open", source or ""] += 1
                 for w in words:
                     total["title" if kind == "heading" else kind, w] += 1
-                for h in re.findall(r"(?m)^#{1,6}\s+(\S.*?)\s*$", text):
+                for h in re.findall(r"(?m)^#{1,6}\s+(\S.*?)\s*$", text) if "#" in text else ():
                     for w in end_words(h, "heading"):
                         total["title", w] += 1
         yield pa.RecordBatch.from_arrays(
@@ -186,24 +193,25 @@ def cut_texts(df: DataFrame, key: str, source: str, text: str, rare: float = 0.0
     base = stats.where("kind in ('source', 'open')").groupBy(F.col("word").alias("b_source")).agg(
         (1 - F.coalesce(F.sum(F.when(F.col("kind") == "open", F.col("n"))), F.lit(0)) / F.sum(F.when(F.col("kind") == "source", F.col("n")))).alias("complete")
     )
-    joined = docs.join(base, F.coalesce(F.col(source), F.lit("")) == F.col("b_source"), "left").select(key, source, text, F.coalesce("complete", F.lit(1.0)).alias("complete"))
 
     def judge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, totals = shared.value
         for r in rows:
             out = []
-            for text, complete in zip(r.column(2).to_pylist(), r.column(3).to_pylist()):
+            for text in r.column(2).to_pylist():
                 reasons, kind, words = look(text) if text else ([], None, [])
-                if "terminator" in reasons and complete < usual:
-                    reasons.remove("terminator")
                 group = "title" if kind == "heading" else kind
                 if words and totals.get(group, 0) >= 200 and not all(w in common[group] for w in words):
                     reasons.append("line")
                 out.append(reasons)
             yield pa.RecordBatch.from_arrays([r.column(0), r.column(1), pa.array(out, pa.list_(pa.string()))], names=[key, source, "reasons"])
 
+    # Texts stay where they are: only keys and reasons meet the baseline of their source.
     kinds = df.schema[key].dataType.simpleString(), df.schema[source].dataType.simpleString()
-    return joined.mapInArrow(judge, f"`{key}` {kinds[0]}, `{source}` {kinds[1]}, reasons array<string>")
+    judged = docs.mapInArrow(judge, f"`{key}` {kinds[0]}, `{source}` {kinds[1]}, reasons array<string>")
+    joined = judged.join(base, F.coalesce(F.col(source), F.lit("")) == F.col("b_source"), "left")
+    reasons = F.when(F.col("complete") < usual, F.array_remove("reasons", "terminator")).otherwise(F.col("reasons"))
+    return joined.select(key, source, reasons.alias("reasons"))
 
 
 def truncation_rates(cut: DataFrame, source: str) -> DataFrame:
