@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.functions.text import content_hash, content_words, hash_normal, jaccard, once
+from fathom.functions.text import char_shingles, content_hash, content_words, hash_normal, jaccard, once
 
 
 def hashed(df: DataFrame, text: str) -> DataFrame:
@@ -51,4 +51,28 @@ def word_duplicates(pages: DataFrame, slides: DataFrame, on: list[str], text: st
     return pages.join(s, on, "left").withColumn("similarity", sim).withColumn("is_duplicate", F.col("similarity") >= limit).drop("_slide")
 
 
-__all__ = ["content_hash", "dedup_stats", "exact_duplicates", "fingerprint_similarity", "hash_normal", "hashed", "minhash", "unseen", "word_duplicates"]
+def near_texts(df: DataFrame, key: str, text: str, limit: float = 0.92, n: int = 3) -> DataFrame:
+    """(a, b, similarity) of distinct texts whose character n-gram sets have at least Jaccard similarity ``limit``.
+
+    Sets of similarity t share one of their first s - ceil(t s) + 1 hashes in any common order - here the rarest in the corpus first - so
+    the texts meet in buckets of those; sizes that rule the similarity out are filtered in the join, pairs are made distinct and verified on the
+    sets. Copies are represented by their smallest key. AQE splits the join's skewed buckets.
+    """
+    reps = exact_duplicates(df, key, text).where(~F.col("is_duplicate")).select(key)
+    sets = df.join(reps, key, "left_semi").select(F.col(key).alias("k"), once(char_shingles(F.col(text), n), lambda s: F.array_sort(F.array_distinct(F.transform(s, lambda x: F.xxhash64(x))))).alias("s"))
+    sets = sets.withColumn("n", F.size("s"))
+    each = sets.select("k", "n", F.explode("s").alias("h"))
+    often = each.groupBy("h").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("k").orderBy("df", "h"))  # one text's set
+    ranked = each.join(often, "h").withColumn("r", rank)
+    e = ranked.where(F.col("r") <= F.col("n") - F.ceil(limit * F.col("n") - 1e-9) + 1).select("k", "n", "h")
+    a, b = e.select(F.col("k").alias("a"), F.col("n").alias("na"), "h"), e.select(F.col("k").alias("b"), F.col("n").alias("nb"), "h")
+    near = (F.col("a") < F.col("b")) & (F.col("na") >= limit * F.col("nb")) & (F.col("nb") >= limit * F.col("na"))
+    cand = a.join(b, "h").where(near).select("a", "b").distinct()
+    sa, sb = sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), sets.select(F.col("k").alias("b"), F.col("s").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    sim = both / (F.size("sa") + F.size("sb") - both)
+    return cand.join(sa, "a").join(sb, "b").select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= limit)
+
+
+__all__ = ["content_hash", "dedup_stats", "exact_duplicates", "fingerprint_similarity", "hash_normal", "hashed", "minhash", "near_texts", "unseen", "word_duplicates"]

@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.plans import corpus, dealt, series
+from fathom.plans import corpus, dealt, payloads, series
 
-MODULES = [dealt, series, corpus]
+MODULES = [dealt, series, corpus, payloads]
 
 
 def _all() -> list:

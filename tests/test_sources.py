@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from fathom.functions import numbers
-from fathom.operators import chunking, frames, quality, rules, screener, search
+from fathom.operators import chunking, dedup, frames, quality, rules, screener, search
 from fathom.sources import files, html, structured
 from fathom.sources.observations import ObservationFiles
 from fathom.streaming import incremental
@@ -123,6 +123,24 @@ def test_search(spark):
     assert {r.k: r.score for r in search.fuse(a, b, "k").collect()} == {1: 0.7, 2: 0.65, 3: 0.0, 4: 0.0}
 
 
+def test_near_texts(spark):
+    import random
+
+    r = random.Random(3)
+    words = [f"{a}{b}" for a in "bdfgklm" for b in ("an", "el", "ir", "ost", "und")]
+    texts = {}
+    for i in range(40):
+        w = list(texts[r.randrange(i)].split()) if i > 5 and r.random() < 0.6 else [r.choice(words) for _ in range(80)]
+        w[r.randrange(len(w))] = r.choice(words)
+        texts[i] = " ".join(w)
+    texts[40], texts[41], texts[42] = texts[0].upper(), None, "ab"
+    grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)} or {t}
+    s = {i: grams((t or "").lower()) for i, t in texts.items() if i != 40}
+    want = {(a, b) for a in s for b in s if a < b and len(s[a] & s[b]) >= 0.92 * len(s[a] | s[b])}
+    got = {(x.a, x.b) for x in dedup.near_texts(spark.createDataFrame(list(texts.items()), "k int, t string"), "k", "t").collect()}
+    assert got == want and len(want) > 3
+
+
 def test_streams(spark, tmp_path):
     src = spark.createDataFrame([(1, "A b!"), (2, "a  b"), (3, "c")], "id int, text string")
     src.write.parquet(str(tmp_path / "in"))
