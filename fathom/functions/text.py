@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANK = r"[\s\p{Z}]+"
+# A run of white space that isn't one plain blank: replacing those only gives the same and copies much less.
+UNEVEN = r" [\s\p{Z}]+|[\s\p{Z}&&[^ ]][\s\p{Z}]*"
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -18,7 +20,7 @@ def hash_normal(c: Column, lower: bool = True, collapse: bool = True, strip_sign
     if lower:
         t = F.lower(t)
     if collapse:
-        t = F.regexp_replace(t, BLANK, " ")
+        t = F.regexp_replace(t, UNEVEN, " ")
     if strip_signs:
         t = F.regexp_replace(t, r"[^\p{L}\p{N}_\s\p{Z}]", "")
     return F.trim(t)
@@ -40,7 +42,7 @@ def once(value: Column, f) -> Column:  # noqa: ANN001
 
 def char_shingles(c: Column, n: int = 3) -> Column:
     """Distinct character n-grams of the lower-cased, collapsed text; shorter texts are their own shingle. Linear in the text."""
-    t = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), BLANK, " "))
+    t = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), UNEVEN, " "))
 
     def grams(chars: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(chars) - n)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.text import char_shingles, content_hash, content_words, hash_normal, jaccard, once
+from fathom.session import cut_lineage
 
 
 def hashed(df: DataFrame, text: str) -> DataFrame:
@@ -17,7 +18,7 @@ def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
 
     The canonical keys are aggregated map-side and joined back, so a hash that a third of all rows share needs no window over them.
     """
-    h = df.select(F.col(key).alias("k"), content_hash(F.col(text)).alias("h"))
+    h = cut_lineage(df.select(F.col(key).alias("k"), content_hash(F.col(text)).alias("h")))  # texts are read once
     least = h.groupBy("h").agg(F.min("k").alias("canonical")).withColumnRenamed("h", "lh")
     return h.join(least, h["h"] == least["lh"]).select(F.col("k").alias(key), F.col("h").alias("content_hash"), "canonical", (F.col("k") != F.col("canonical")).alias("is_duplicate"))
 
