@@ -7,11 +7,17 @@ has to end with a terminator; lines that stand alone (titles, bullets, keywords,
 a word such lines end with elsewhere in the corpus. A marker of omission at the end (an ellipsis, "[truncated]", "(more)") is taken off
 first; what stands before it is judged, and an explicit marker counts by itself unless the sentence before it is complete.
 
-A missing terminator only counts in sources whose texts usually have one: the share of complete texts per source is the
-baseline. The corpus statistics cover all texts: counts by source, and the last words of standing lines, of which only those with
-at least a share ``rare`` are broadcast - at most 1/``rare`` of each kind.
+A missing terminator only counts in sources that usually set one. A cut only changes the end of a text, so the baseline is taken from
+what stands before it: of the source's other texts, those that end with a terminator or end their inner paragraphs (without any,
+inner sentences) with one. Besides, a missing terminator counts where texts that tell nothing inside pile up at the greatest
+length of their source with varied last words, as a field limit leaves them. A source of single paragraphs that habitually leaves out just
+the last terminator can't be told from one that cuts most of its texts, and counts as cutting.
 
-Defined results: null, blank and empty texts and texts of one short word are not cut; null sources form one source; repeated texts get
+The corpus statistics cover all texts: counts by source, and the last words of standing lines, items of keyword lines and inner bullets,
+of which only those with at least a share ``rare`` are broadcast - at most 1/``rare`` of each kind. Standing lines of a kind are
+compared, in tables of any size, if at least a share ``usual`` of their words are such common ones.
+
+Defined results: a text alone in its source has no baseline and lacks no terminator; null, blank and empty texts and texts of one short word are not cut; null sources form one source; repeated texts get
 the same verdict. An empty table gives an empty result.
 """
 
@@ -31,6 +37,10 @@ from fathom.session import cut_lineage
 MARKER = re.compile(r"\s*(?:…|\[\s*(?:truncated|\.\.\.|…|cut|more)\s*\]|\(\s*(?:more|truncated|continued|cont\.?|\.\.\.|…)\s*\)|<\s*(?:truncated|snip|cut)\s*>|(?:read|show|see) more\s*(?:…|\.\.\.|»)?|\[?message clipped\]?)\s*$", re.I)
 BROKEN = re.compile(r"(?:�+|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|(?<!\\)\\|&#?[A-Za-z0-9]{1,8}|<(?:[/!]?[A-Za-z][^<>\n]{0,80})?|%[0-9A-Fa-f]?)$")
 END = re.compile(r"[.!?。！？‽][\"'”’»)\]*_`]*$")
+SENTENCE = re.compile(r"[.!?。！？‽][\"'”’»)\]*_`]*\s")
+PARAGRAPHS = re.compile(r"(?:\r\n|[\r\n])[^\S\r\n]*(?:\r\n|[\r\n])")
+BULLETS = re.compile(r"(?m)^[^\S\n]*(?:[-*•+]|\d+[.)])\s+(\S.*)$")
+ITEMS = re.compile(r"(?m)^\w[\w ]{1,20}: ((?:[^,.;:\n]{1,40}, )+)[^,.;:\n]{1,40}$")
 STRUCTURE = re.compile(r"(?:\A|\n)[^\S\n]*[\[{]")
 KEY = re.compile(r'"\s*:')
 BRACKET = re.compile("[()]")
@@ -153,64 +163,104 @@ def look(text: str) -> tuple[list[str], str | None, list[str]]:
     return reasons, kind, [] if kind in ("signature", "table", "fence") else end_words(line, kind)
 
 
+def sets_terminators(text: str) -> bool:
+    """Whether a text with an open end sets terminators before it, where no cut could remove them."""
+    *inner, last = [p for p in PARAGRAPHS.split(text) if p.strip()] or [""]
+    ends = [last_line(p)[0] for p in inner]
+    prose = [bool(END.search(e[-TAIL:])) for e in ends if END.search(e[-TAIL:]) or standing_kind(e, True) is None]
+    return 2 * sum(prose) > len(prose) if prose else bool(SENTENCE.search(last))
+
+
+def inner_ends(text: str) -> list[tuple[str, str]]:
+    """(kind, word) of how standing lines end within a text, where no cut can be: headings, bullets before the last line, and all but the
+    last item of keyword lines."""
+    out = [("title", w) for h in re.findall(r"(?m)^#{1,6}\s+(\S.*?)\s*$", text) for w in end_words(h, "heading")] if "#" in text else []
+    body = text[: text.rstrip().rfind("\n") + 1]
+    out += [("bullet", w) for b in BULLETS.findall(body) if not END.search(b[-TAIL:]) for w in end_words(b, "bullet")]
+    if ", " in text:
+        out += [("keywords", w) for line in ITEMS.findall(text) for item in line.split(", ") for w in end_words(item, "keywords")]
+    return out
+
+
 def _statistics(docs: DataFrame) -> DataFrame:
-    """(kind, word, n) over all texts: last words of standing lines, and per source the texts that end completely or not."""
+    """(kind, word, last, at, n) over all texts: end words of standing lines; and per source the texts, their greatest length, and with
+    their lengths and last words those with an open end that set no terminator before it."""
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[tuple[str, str]] = Counter()
+        total: Counter[tuple[str, str, str, int]] = Counter()
+        longest: dict[str, int] = {}
         for r in rows:
             for source, text in zip(r.column(0).to_pylist(), r.column(1).to_pylist()):
                 if not text:
                     continue
                 reasons, kind, words = look(text)
-                total["source", source or ""] += 1
-                if "terminator" in reasons:
-                    total["open", source or ""] += 1
+                source = source or ""
+                total["source", source, "", 0] += 1
+                longest[source] = max(longest.get(source, 0), len(text))
+                if "terminator" in reasons and not sets_terminators(text):
+                    total["bare", source, text.split()[-1][-40:], len(text)] += 1
                 for w in words:
-                    total["title" if kind == "heading" else kind, w] += 1
-                for h in re.findall(r"(?m)^#{1,6}\s+(\S.*?)\s*$", text) if "#" in text else ():
-                    for w in end_words(h, "heading"):
-                        total["title", w] += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _ in total], pa.string()), pa.array([w[:200] for _, w in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["kind", "word", "n"]
-        )
+                    total["title" if kind == "heading" else kind, w[:200], "", 0] += 1
+                for k, w in inner_ends(text):
+                    total[k, w[:200], "", 0] += 1
+        for source, n in longest.items():
+            total["longest", source, "", n] = 1
+        columns = [pa.array([k[i] for k in total], pa.string()) for i in range(3)] + [pa.array([k[3] for k in total], pa.int32()), pa.array(list(total.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["kind", "word", "last", "at", "n"])
 
-    return docs.mapInArrow(count, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(count, "kind string, word string, last string, at int, n long").groupBy("kind", "word", "last", "at").agg(F.sum("n").alias("n"))
+
+
+def _baselines(stats: DataFrame) -> DataFrame:
+    """(b_source, n, bare, limit): ``limit`` is the length at which bare texts pile up, if there is one."""
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    at = stats.where("kind in ('source', 'bare', 'longest')").groupBy("word", "kind", "at").agg(F.sum("n").alias("n"), F.count("*").alias("lasts"))
+    by = at.groupBy(F.col("word").alias("b_source")).agg(
+        F.sum(of("source", "n")).alias("n"), F.coalesce(F.sum(of("bare", "n")), F.lit(0)).alias("bare"), F.max(of("longest", "at")).alias("longest"),
+        F.max(F.when(F.col("kind") == "bare", F.struct("at", "n", "lasts"))).alias("top"),
+    )
+    piled = (F.col("top.at") == F.col("longest")) & (F.col("top.n") >= 3) & (2 * F.col("top.lasts") >= F.col("top.n"))
+    return by.select("b_source", "n", "bare", F.when(piled, F.col("longest")).alias("limit"))
 
 
 def cut_texts(df: DataFrame, key: str, source: str, text: str, rare: float = 0.002, usual: float = 0.5) -> DataFrame:
     """(key, source, reasons array<string>): every row; cut texts have reasons."""
     docs = df.select(F.col(key), F.col(source), F.col(text))
     stats = cut_lineage(_statistics(docs.select(source, text)))
-    words = stats.where("kind not in ('source', 'open')")
+    words = stats.where("kind not in ('source', 'bare', 'longest')")
     totals = {r["kind"]: r["n"] for r in words.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # as many rows as kinds
     common: dict[str, set[str]] = {k: set() for k in totals}
+    told = dict.fromkeys(totals, 0)
     for k, n in totals.items():
         least = max(2, int(rare * n))
         for r in words.where((F.col("kind") == k) & (F.col("n") >= least)).collect():  # at most 1/rare rows
             common[k].add(r["word"])
-    shared = df.sparkSession.sparkContext.broadcast((common, totals))
-    base = stats.where("kind in ('source', 'open')").groupBy(F.col("word").alias("b_source")).agg(
-        (1 - F.coalesce(F.sum(F.when(F.col("kind") == "open", F.col("n"))), F.lit(0)) / F.sum(F.when(F.col("kind") == "source", F.col("n")))).alias("complete")
-    )
+            told[k] += r["n"]
+    regular = {k for k, n in totals.items() if told[k] >= usual * n}
+    shared = df.sparkSession.sparkContext.broadcast((common, regular))
+    base = _baselines(stats)
 
     def judge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, totals = shared.value
+        common, regular = shared.value
         for r in rows:
-            out = []
+            out, bare = [], []
             for text in r.column(2).to_pylist():
                 reasons, kind, words = look(text) if text else ([], None, [])
                 group = "title" if kind == "heading" else kind
-                if words and totals.get(group, 0) >= 200 and not all(w in common[group] for w in words):
+                if words and group in regular and not all(w[:200] in common[group] for w in words):
                     reasons.append("line")
                 out.append(reasons)
-            yield pa.RecordBatch.from_arrays([r.column(0), r.column(1), pa.array(out, pa.list_(pa.string()))], names=[key, source, "reasons"])
+                bare.append(len(text) if "terminator" in reasons and not sets_terminators(text) else None)
+            yield pa.RecordBatch.from_arrays([r.column(0), r.column(1), pa.array(out, pa.list_(pa.string())), pa.array(bare, pa.int32())], names=[key, source, "reasons", "bare_at"])
 
     # Texts stay where they are: only keys and reasons meet the baseline of their source.
     kinds = df.schema[key].dataType.simpleString(), df.schema[source].dataType.simpleString()
-    judged = docs.mapInArrow(judge, f"`{key}` {kinds[0]}, `{source}` {kinds[1]}, reasons array<string>")
+    judged = docs.mapInArrow(judge, f"`{key}` {kinds[0]}, `{source}` {kinds[1]}, reasons array<string>, bare_at int")
     joined = judged.join(base, F.coalesce(F.col(source), F.lit("")) == F.col("b_source"), "left")
-    reasons = F.when(F.col("complete") < usual, F.array_remove("reasons", "terminator")).otherwise(F.col("reasons"))
+    # Of the other texts of the source; a text whose reasons hold a terminator is one that was counted.
+    bare = F.col("bare") - F.when(F.col("bare_at").isNotNull(), 1).otherwise(0)
+    counts = (F.col("n") > 1) & (F.col("n") - 1 - bare >= usual * (F.col("n") - 1)) | F.coalesce(F.col("bare_at") == F.col("limit"), F.lit(False))
+    reasons = F.when(counts, F.col("reasons")).otherwise(F.array_remove("reasons", "terminator"))
     return joined.select(key, source, reasons.alias("reasons"))
 
 

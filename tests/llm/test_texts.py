@@ -137,3 +137,23 @@ def test_cut_frame(spark):
     rates = {r.source: (r.n_texts, r.n_cut) for r in cutoff.truncation_rates(cutoff.cut_texts(df, "id", "source", "text"), "source").collect()}
     assert rates == {"a": (22, 1), None: (1, 0), "b": (10, 0)}
     assert cutoff.cut_texts(df.limit(0), "id", "source", "text").count() == 0
+
+
+def test_a_source_that_cuts_most_of_its_texts_keeps_its_cuts(spark):
+    words = "rates survey panel growth index model weekly outlook sample trend market signal desk note".split()
+    rows = [(i, "limit", f"Text {i} starts well. Then the {words[i % 14]} of the {words[(i + 5) % 14]} goes on and on"[:44]) for i in range(20)]
+    rows += [(100 + i, "limit", f"Text {i} is whole. It ends.") for i in range(5)]
+    rows += [(200 + i, "single", (f"Only the {words[i % 14]} {words[(i * 3 + 1) % 14]} and {words[(i * 5 + 2) % 14]} of {i} go on without any stop")[:30]) for i in range(12)]
+    rows += [(300 + i, "single", f"Short {words[i]} text {i}.") for i in range(4)]
+    rows += [(400 + i, "plain", f"nobody stops here {i} " + "so " * i + "ever") for i in range(9)] + [(450, "plain", "One that stops.")]
+    df = spark.createDataFrame(rows, "id long, source string, text string")
+    got = cutoff.cut_texts(df, "id", "source", "text")
+    assert {r.id for r in got.collect() if r.reasons} == {*range(20), *range(200, 212)}
+    assert {r.source: r.n_cut for r in cutoff.truncation_rates(got, "source").collect()} == {"limit": 20, "single": 12, "plain": 0}
+
+
+def test_standing_lines_are_compared_in_small_tables_too(spark):
+    items = "model, survey, index, panel".split(", ")
+    rows = [(i, f"Done {i}.\n\nKeywords: {items[i % 4]}, {items[(i + 1) % 4]}, {items[(i + 2) % 4]}") for i in range(20)] + [(50, "Done.\n\nKeywords: model, survey, ind")]
+    df = spark.createDataFrame([(i, "s", t) for i, t in rows], "id long, source string, text string")
+    assert {r.id for r in cutoff.cut_texts(df, "id", "source", "text").collect() if r.reasons} == {50}
