@@ -1,8 +1,9 @@
 """Schemas that drift between files: similarity flooding between consecutive files, then one consistent table.
 
 Every JSON record is read as a variant; its fields (top-level names and the members of the ``nested`` objects) are profiled per
-file: counts by type and two bounded sketches of the content (which of 1,024 buckets its values and the shapes of its values hash
-to). Profiles are a few rows per file however many records the file or its stream has, so no stream is ever gathered.
+file: counts by type and two bounded sketches of the content (the least hash of its values, and of the shapes of its values, in each of
+1,024 bins). The sketches sample the distinct values evenly however many there are, so likeness and distinct counts don't drift with the size of
+a file; of a set of a handful of values and one of many thousands nothing can be compared, and they count as unlike. Profiles are a few rows per file however many records the file or its stream has, so no stream is ever gathered.
 
 Each file is compared with the one before it in its stream. Both schemas become graphs with nodes for the root, the fields and the
 types and edges for nesting and typing; scores that start from the likeness of names and content are propagated along equal edges
@@ -72,18 +73,21 @@ def file_profiles(fields: DataFrame) -> DataFrame:
         prose = F.concat(F.lit("text"), F.regexp_extract(x, r"(\p{P}*)$", 1))
         return F.when(F.size(F.split(x, " ")) >= 4, prose).otherwise(F.translate(F.regexp_replace(x, r"a(?:[\s,;:'’-]+a)+", "a a"), "\u0001", "m"))
 
-    bucket = lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int")
-    each = fields.select("stream_id", "file_no", "path", "kind", F.explode_outer(parts).alias("part"))
-    sketch = each.groupBy("stream_id", "file_no", "path").agg(
-        F.array_sort(F.collect_set(F.when(F.col("kind").isNotNull(), bucket(F.col("part"))))).alias("vals"),
-        F.array_sort(F.collect_set(F.when(F.col("kind").isNotNull(), bucket(shape(F.col("part")))))).alias("shapes"),
+    hashed = lambda x: F.shiftrightunsigned(F.xxhash64(x), 1)
+    each = fields.where("kind is not null").select("stream_id", "file_no", "path", F.explode(parts).alias("part")).where("part is not null")
+    both = each.select("stream_id", "file_no", "path", F.posexplode(F.array(hashed(F.col("part")), hashed(shape(F.col("part"))))).alias("which", "h"))
+    least = both.groupBy("stream_id", "file_no", "path", "which", (F.col("h") % BUCKETS).alias("bin")).agg(F.min("h").alias("h"))
+    sketch = least.groupBy("stream_id", "file_no", "path").agg(
+        F.array_sort(F.collect_list(F.when(F.col("which") == 0, F.col("h")))).alias("vals"), F.array_sort(F.collect_list(F.when(F.col("which") == 1, F.col("h")))).alias("shapes")
     )
+    none = F.array().cast("array<bigint>")
     kinds = ("string", "number", "boolean", "object", "array")
     counts = fields.groupBy("stream_id", "file_no", "path").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds])
     best = F.greatest(*[f"n_{k}" for k in kinds])
     kind = F.coalesce(*[F.when((F.col(f"n_{k}") == best) & (best > 0), k) for k in sorted(kinds)])
     filled = sum((F.col(f"n_{k}") for k in kinds), F.lit(0)).alias("n")
-    return counts.select("stream_id", "file_no", "path", kind.alias("kind"), filled).join(sketch, ["stream_id", "file_no", "path"])
+    out = counts.select("stream_id", "file_no", "path", kind.alias("kind"), filled).join(sketch, ["stream_id", "file_no", "path"], "left")
+    return out.withColumns({"vals": F.coalesce("vals", none), "shapes": F.coalesce("shapes", none)})
 
 
 def _name_likeness(a: str, b: str) -> float:
@@ -98,7 +102,17 @@ def _name_likeness(a: str, b: str) -> float:
 
 
 def _overlap(a: set[int], b: set[int]) -> float:
-    return len(a & b) / min(len(a), len(b)) if a and b else 0.0
+    """Share of the smaller set that is in the other one: of the bins whose least hash over both sets is one of the smaller set's."""
+    small, large = sorted((a, b), key=_distinct)
+    other = {h % BUCKETS: h for h in large}
+    told = [h == other.get(h % BUCKETS) for h in small if h <= other.get(h % BUCKETS, h)]
+    return sum(told) / len(told) if told else 0.0
+
+
+def _distinct(a: set[int]) -> int:
+    """Number of distinct values behind a sketch: most likely rate at which the bins' least hashes come."""
+    top = 2**63 // BUCKETS
+    return round(BUCKETS * len(a) / (BUCKETS - len(a) + sum(h // BUCKETS / top for h in a))) if a else 0
 
 
 def flood(start: np.ndarray, edges: list[tuple[np.ndarray, np.ndarray]], rounds: int = 100, least: float = 1e-4) -> np.ndarray:
@@ -153,7 +167,7 @@ def correspondences(old: list[dict], new: list[dict], accept: float = 0.4) -> li
             # Two booleans, or two single values, agree by chance: enough only where no better pair is left.
             content = _overlap(x["vals"], y["vals"]) * (1.0 if telling else 0.42) if same_kind else 0.0
             # Values that hardly ever recur can't overlap; of them the shapes have to agree.
-            unique = telling and x["kind"] == "string" and all(f["n"] > 2 and len(f["vals"]) >= 0.75 * f["n"] for f in (x, y))
+            unique = telling and x["kind"] == "string" and all(f["n"] > 2 and _distinct(f["vals"]) >= 0.75 * f["n"] for f in (x, y))
             alike = _overlap(x["shapes"], y["shapes"]) if unique else 0.0
             kinds_differ = x["kind"] and y["kind"] and x["kind"] != y["kind"]
             own[i, j] = max(name * (0.75 if kinds_differ else 1.0), content, 0.45 * alike)
@@ -163,7 +177,7 @@ def correspondences(old: list[dict], new: list[dict], accept: float = 0.4) -> li
             x, y = old[i], new[j]
             alone = sum(level(a_paths[k]) == level(x["path"]) for k in gone) == 1 == sum(level(b_paths[k]) == level(y["path"]) for k in come)
             # The one field that goes and the one that comes, of one kind and shape: only values that recur can speak against them.
-            recurs = all(f["n"] >= 8 and len(f["vals"]) <= 0.5 * f["n"] for f in (x, y))
+            recurs = all(f["n"] >= 8 and _distinct(f["vals"]) <= 0.5 * f["n"] for f in (x, y))
             if alone and level(x["path"]) == level(y["path"]) and x["kind"] == y["kind"] and x["shapes"] & y["shapes"] and (x["vals"] & y["vals"] or not recurs):
                 own[i, j] = max(own[i, j], accept)
     start[1 : 1 + na, 1 : 1 + nb] = own

@@ -70,3 +70,9 @@ def test_ties_are_consistent():
     f = lambda p: {"path": p, "kind": "boolean", "n": 5, "vals": {1, 2}, "shapes": {1}}
     got = correspondences([f("bold"), f("italic")], [f("is_italic"), f("is_bold")])
     assert sorted((i, j) for i, j, _ in got) == [(0, 1), (1, 0)]
+
+
+def test_large_files_are_told_apart_like_small_ones(spark):
+    a = [{"id": f"p{i % 50}_r1", "weight": i * 7 + 1, "code": f"k{i % 900}"} for i in range(2500)]
+    b = [{"id": f"p{i % 50}_r1", "volume": 10**6 + i * 3, "mark": f"k{(i * 7) % 900}"} for i in range(2500)]
+    assert found(changes(spark, [a, b])[2]) == {(2, "removed", "weight", ""), (2, "added", "", "volume"), (2, "renamed", "code", "mark")}
