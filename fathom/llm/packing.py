@@ -32,13 +32,23 @@ def harmonic_class(size: Column, capacity: int, classes: int) -> Column:
     return F.least(F.floor(F.lit(capacity) / size), F.lit(classes)).cast("int")
 
 
+def _piece_sizes(size: str, capacity: int) -> Column:
+    """Lengths of the pieces of an item: full containers and the rest; one piece of 0 if it has no length."""
+    n = F.coalesce(F.col(size).cast("long"), F.lit(0))
+    full = F.when(n > capacity, F.floor(n / capacity)).otherwise(0).cast("int")
+    rest = n - full * capacity
+    return F.concat(F.array_repeat(F.lit(capacity).cast("long"), full), F.when((rest > 0) | (n == 0), F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+
+
 def harmonic(items: DataFrame, key: str, size: str, capacity: int, classes: int = 32, salts: int = 64) -> DataFrame:
-    """(key, size, class_no, container): plain harmonic packing of items up to the capacity; the items below capacity/classes are
-    packed by their class's largest size. Every worker fills its own containers."""
-    it = items.select(F.col(key), F.col(size), harmonic_class(F.col(size), capacity, classes).alias("class_no"), F.pmod(F.xxhash64(key), F.lit(salts)).alias("salt"))
-    w = Window.partitionBy("class_no", "salt").orderBy(F.desc(size), key)
-    at = F.floor((F.row_number().over(w) - 1) / F.col("class_no"))
-    return it.select(key, size, "class_no", F.concat_ws("-", "class_no", "salt", at.cast("long")).alias("container"))
+    """(key, piece, size, class_no, container): plain harmonic packing of every item, or piece of an oversized one; the items below
+    capacity/classes are packed by their class's largest size. Every worker fills its own containers. Items of no length (0 or null) take
+    no space: class 0, all in container ``0``."""
+    it = items.select(F.col(key), F.posexplode(_piece_sizes(size, capacity)).alias("piece", size)).withColumn("salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)))
+    it = it.withColumn("class_no", F.when(F.col(size) == 0, 0).otherwise(harmonic_class(F.nullif(F.col(size), F.lit(0)), capacity, classes)))
+    w = Window.partitionBy("class_no", "salt").orderBy(F.desc(size), key, "piece")
+    at = F.floor((F.row_number().over(w) - 1) / F.nullif(F.col("class_no"), F.lit(0)))
+    return it.select(key, "piece", size, "class_no", F.when(F.col("class_no") == 0, "0").otherwise(F.concat_ws("-", "class_no", "salt", at.cast("long"))).alias("container"))
 
 
 def _pair(some: np.ndarray, have: np.ndarray, r: int) -> int:
@@ -103,11 +113,7 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
 
 def pack(items: DataFrame, key: str, size: str, capacity: int = 2048, salts: int = 64) -> DataFrame:
     """(key, piece, n_tokens, container_id): every item, or piece of an oversized one, in its container."""
-    n = F.coalesce(F.col(size).cast("long"), F.lit(0))
-    full = F.when(n > capacity, F.floor(n / capacity)).otherwise(0).cast("int")
-    rest = n - full * capacity
-    sizes = F.concat(F.array_repeat(F.lit(capacity).cast("long"), full), F.when((rest > 0) | (n == 0), F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    it = items.select(F.col(key), F.posexplode(sizes).alias("piece", "n_tokens")).withColumn("salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).cast("int"))
+    it = items.select(F.col(key), F.posexplode(_piece_sizes(size, capacity)).alias("piece", "n_tokens")).withColumn("salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).cast("int"))
     it = cut_lineage(it)
     groups = it.groupBy("n_tokens", "salt").agg(F.count("*").alias("n")).toPandas()  # at most capacity x salts rows
     counts = np.zeros(capacity + 1, dtype=np.int64)

@@ -157,3 +157,13 @@ def test_standing_lines_are_compared_in_small_tables_too(spark):
     rows = [(i, f"Done {i}.\n\nKeywords: {items[i % 4]}, {items[(i + 1) % 4]}, {items[(i + 2) % 4]}") for i in range(20)] + [(50, "Done.\n\nKeywords: model, survey, ind")]
     df = spark.createDataFrame([(i, "s", t) for i, t in rows], "id long, source string, text string")
     assert {r.id for r in cutoff.cut_texts(df, "id", "source", "text").collect() if r.reasons} == {50}
+
+
+def test_harmonic_packs_every_item(spark):
+    sizes = {1: 0, 2: None, 3: 1, 4: 512, 5: 513, 6: 1300, 7: 30, 8: 200}
+    got = packing.harmonic(spark.createDataFrame(list(sizes.items()), "k long, n long"), "k", "n", 512, 8, 2).collect()
+    load, total = {}, dict.fromkeys(sizes, 0)
+    for r in got:
+        load[r.container] = load.get(r.container, 0) + r.n
+        total[r.k] += r.n
+    assert max(load.values()) <= 512 and total == {k: n or 0 for k, n in sizes.items()} and {r.k for r in got} == set(sizes)
