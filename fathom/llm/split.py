@@ -3,7 +3,7 @@
 Sizes are estimated tokens: code points divided by four, rounded down. The least number of pieces gives equally spaced targets; each
 target is snapped to the strongest boundary near it (paragraph, line, sentence, clause, blank; the nearest of equals), and a piece is
 added whenever one would break the limit. A piece starts up to ``overlap`` tokens before the end of the one before, at the strongest
-boundary there. Joining the pieces without their overlaps gives the text back exactly.
+boundary there but not at that end, so that each shares text with the one before if ``overlap`` is not 0. Joining the pieces without their overlaps gives the text back exactly.
 
 Only oversized texts leave the JVM; all others pass through as one piece.
 
@@ -62,8 +62,7 @@ def pieces(text: str, limit: int, overlap: int, slack: float = 0.2) -> list[tupl
             out.append((start, end, strength))
             if i < count - 1:
                 low = max(end - shared, start + 1)
-                found, back = boundary_near(text, low, low, end)
-                start = back if found else end if strength else low
+                start = boundary_near(text, low, low, end - 1)[1] if low < end else end
         else:
             return out
         count += 1

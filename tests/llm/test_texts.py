@@ -167,3 +167,9 @@ def test_harmonic_packs_every_item(spark):
         load[r.container] = load.get(r.container, 0) + r.n
         total[r.k] += r.n
     assert max(load.values()) <= 512 and total == {k: n or 0 for k, n in sizes.items()} and {r.k for r in got} == set(sizes)
+
+
+def test_pieces_overlap_at_lines_and_paragraphs_too():
+    t = "\n\n".join(f"Paragraph {i} has some words. It has a few sentences, and then it ends here." * 3 for i in range(40))
+    ps = split.pieces(t, 100, 10)
+    assert 5 in {w for _, _, w in ps[:-1]} and all(0 < e - s <= 40 for (_, e, _), (s, _, _) in zip(ps, ps[1:]))
