@@ -110,26 +110,37 @@ def metadata_filter(df: DataFrame, equal: dict[str, object], any_of: dict[str, l
     return df
 
 
-def greedy_selection(hits: DataFrame, query: str, key: str, text: str, score: str, limit: float = 0.85, most: int = 10, look_at: int = 2000) -> DataFrame:
-    """(query, key, rank): hits of each query in order of score, leaving out those too similar to one already taken. The rule is
-    sequential; ``look_at`` bounds the candidates of a query that reach one task."""
+def greedy_selection(hits: DataFrame, query: str, key: str, text: str, score: str, limit: float = 0.85, most: int = 10) -> DataFrame:
+    """(query, key, rank): hits of each query in order of score, leaving out those too similar to one already taken. Of hits
+    with equal word sets (of some words) only the best can be taken, so the others are left out first; the rest stream by score through one task a query,
+    which holds no more than the taken ones, and goes on until ``most`` are taken or the hits end."""
     import pandas as pd
 
-    w = Window.partitionBy(query).orderBy(F.desc(score), key)
-    cand = hits.select(F.col(query), F.col(key), F.col(text).alias("_t"), F.row_number().over(w).alias("_r")).where(F.col("_r") <= look_at).withColumn("_w", F.array_distinct(tokens(F.coalesce("_t", F.lit(""))))).drop("_t")
-
-    def take(g: pd.DataFrame) -> pd.DataFrame:
-        kept: list[set] = []
-        rows = []
-        for k, q, ws in g.sort_values("_r")[[key, query, "_w"]].itertuples(index=False):
-            s = set(ws)
-            if len(rows) < most and not any(len(s & o) >= limit * max(1, len(s | o)) for o in kept):
-                kept.append(s)
-                rows.append((q, k, len(rows) + 1))
-        return pd.DataFrame(rows, columns=[query, key, "rank"])
+    words = F.array_sort(F.array_distinct(tokens(F.coalesce(F.col(text), F.lit("")))))
+    cand = hits.select(F.col(query).alias("q"), F.col(key).alias("k"), F.col(score).alias("s"), words.alias("ws"))
+    # Greatest score first, nulls last, ties by key.
+    order = F.struct(F.col("s").isNull().alias("no"), (-F.col("s")).alias("minus"), F.col("k").alias("k"))
+    firsts = cand.groupBy("q", "ws", F.when(F.size("ws") == 0, F.col("k"))).agg(F.min(order).alias("o")).select("q", "o.no", "o.minus", "o.k", "ws")
+    ordered = firsts.repartition("q").sortWithinPartitions("q", "no", "minus", "k").select("q", "k", "ws")
+
+    def take(batches):  # noqa: ANN001, ANN202
+        now, kept = object(), []
+        for b in batches:
+            rows = []
+            for q, k, ws in zip(b["q"], b["k"], b["ws"]):
+                q = None if pd.isna(q) else q
+                if q != now:
+                    now, kept = q, []
+                if len(kept) >= most:
+                    continue
+                w = set(ws)
+                if not any(len(w & o) >= limit * max(1, len(w | o)) for o in kept):
+                    kept.append(w)
+                    rows.append((q, k, len(kept)))
+            yield pd.DataFrame(rows, columns=[query, key, "rank"])
 
     t = lambda c: hits.schema[c].dataType.simpleString()
-    return cand.groupBy(query).applyInPandas(take, f"{query} {t(query)}, {key} {t(key)}, rank int")
+    return ordered.mapInPandas(take, f"{query} {t(query)}, {key} {t(key)}, rank int")
 
 
 def knn_blocks(corpus: DataFrame, key: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int = 10, block: int = 2_000) -> DataFrame:
