@@ -424,6 +424,25 @@ def v06_filtered_search(spark: SparkSession, d: str) -> DataFrame:
     return search.vector_topk(corpus, "vec_id", "embedding", _query_vectors(spark, d), "q", "v", 10)
 
 
+@query()
+def v06_filtered_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Every row whose id is divisible by 20 against all rows that pass the filter."""
+    e = table(spark, d, "embeddings")
+    corpus = search.metadata_filter(e, {}, {"label": [1, 2]})
+    return search.knn_blocks(corpus, "vec_id", "embedding", e.where("vec_id % 20 = 0"), "vec_id", "embedding", 10).select("query", "vec_id", "score", "rank")
+
+
+@query()
+def v03_hybrid_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Every row whose id is divisible by 20 against all rows, fused with the keyword hits of one of the questions in turn."""
+    e = table(spark, d, "embeddings")
+    qs = e.where("vec_id % 20 = 0")
+    k = search.top(_bm25(spark, d), "doc_id", 50).select(F.col("query").alias("question"), F.col("doc_id").alias("id"), "score")
+    asked = qs.select(F.col("vec_id").alias("query"), (F.pmod(F.floor(F.col("vec_id") / 20), F.lit(len(QUESTIONS))) + 1).cast("int").alias("question"))
+    v = search.knn_blocks(e, "vec_id", "embedding", qs, "vec_id", "embedding", 50).withColumnRenamed("vec_id", "id").drop("rank")
+    return search.top(search.fuse(v, asked.join(k, "question").select("query", "id", "score"), "id"), "id", 10).select("query", "id", "score", "rank")
+
+
 @query()
 def d10_greedy_selection(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "search_chunks").where("module_name is not null and score is not null")

@@ -176,7 +176,18 @@ def v09_reranked(spark: SparkSession, d: str) -> DataFrame:
     """The nearest twenty, ordered again with a bonus, each with its linked row."""
     e = table(spark, d, "embeddings")
     q = e.where("label = 0").orderBy("vec_id").limit(5).select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
-    hits = search.vector_topk(e, "vec_id", "embedding", q, "q", "v", 20).drop("rank").join(e.select("vec_id", "label"), "vec_id")
+    return _reranked(search.vector_topk(e, "vec_id", "embedding", q, "q", "v", 20), e)
+
+
+@query()
+def v09_reranked_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Every row whose id is divisible by 20 against all rows."""
+    e = table(spark, d, "embeddings")
+    return _reranked(search.knn_blocks(e, "vec_id", "embedding", e.where("vec_id % 20 = 0"), "vec_id", "embedding", 20), e)
+
+
+def _reranked(found: DataFrame, e: DataFrame) -> DataFrame:
+    hits = found.drop("rank").join(e.select("vec_id", "label"), "vec_id")
     hits = linked.linked(hits, e, ["label"], "vec_id", "partner", [F.asc("vec_id")])
     bonus = F.col("score") + F.when(F.col("label") == 0, 0.1).otherwise(0.0)
     w = Window.partitionBy("query").orderBy(bonus.desc(), "vec_id")
