@@ -1,15 +1,17 @@
 """Schemas that drift between files: similarity flooding between consecutive files, then one consistent table.
 
-Every JSON record is read as a variant; its fields (top-level names and the members of the ``nested`` objects) are profiled per
-file: counts by type and two bounded sketches of the content (the least hash of its values, and of the shapes of its values, in each of
-1,024 bins). The sketches sample the distinct values evenly however many there are, so likeness and distinct counts don't drift with the size of
-a file; of a set of a handful of values and one of many thousands nothing can be compared, and they count as unlike. Profiles are a few rows per file however many records the file or its stream has, so no stream is ever gathered.
-
-Each file is compared with the one before it in its stream. Both schemas become graphs with nodes for the root, the fields and the
-types and edges for nesting and typing; scores that start from the likeness of names and content are propagated along equal edges
-until they converge. Fields of the same path correspond; of the others, pairs on the same level correspond that are each
-other's best, score at least ``accept`` of a name or content likeness of their own, and contradict no other pair: these are
-renames. The rest was added or removed.
+Every JSON record is read as a variant; its fields (top-level names and the members of the ``nested`` objects) are counted by type per
+file: a few rows per file however many records the file or its stream has, so no stream is ever gathered. Only where fields of a level both go and
+come, their contents are sketched: the least hash of the values, and of the shapes of the values, in each of 1,024 bins. The sketches
+sample the distinct values evenly however many there are, so likeness and distinct counts don't drift with the size of a file; of a set of a
+handful of values and one of many thousands nothing can be compared, and they count as unlike.
+
+Each file is compared with the one before it in its stream by similarity flooding. The nodes are pairs of a level (root or nested object), of
+types, and of fields of a level: those of the same path, and each that goes with each that comes. A pair of fields starts from the likeness of
+its names and of telling contents, a pair of equal paths, levels or types from 1. Scores flow from pairs of levels and types to the pairs of fields
+that they hold, the less the more pairs compete, and back, and from the shared content; each round mixes what flows in with the start, until nothing
+changes. So types that changed together in other fields, or a level that otherwise stayed as it is, count for a pair. Pairs that go and come
+with a score of ``accept`` or more, the best first, each field once, are the renames; the rest was added or removed.
 
 Defined results: unreadable payloads and payloads that are no objects have no fields; rows without stream or file number are
 ignored; a file without readable records has no fields (all of its predecessor's are removed); a field that is null throughout
@@ -19,14 +21,16 @@ frequent counts (ties: by name); repeated records count once more and change not
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.session import cut_lineage
+
 BUCKETS = 1024
 CHANGES = "stream_id string, file_no int, change string, old_path string, new_path string, score double, old_type string, new_type string"
 
@@ -49,20 +53,30 @@ def record_fields(df: DataFrame, key: str, stream: str, file_no: str, payload: s
         F.col(key).alias("record"), F.col(stream).alias("stream_id"), F.col(file_no).cast("int").alias("file_no"), F.try_parse_json(F.col(payload)).alias("v")
     ).where("stream_id is not null and file_no is not null and v is not null")
     spark = df.sparkSession
-    top = spark.sql(
-        "select record, stream_id, file_no, e.key as path, e.value as fv from {base}, lateral variant_explode(v) as e where e.key is not null", base=base
-    ).where("path is not null")
-    inner = spark.sql(
-        "select record, stream_id, file_no, concat(path, '.', e.key) as path, e.value as fv from {top}, lateral variant_explode(fv) as e where e.key is not null",
-        top=top.where(F.col("path").isin(*nested)),
-    )
-    both = top.unionByName(inner).withColumn("kind", _kind("fv"))
+    top = spark.sql("select record, stream_id, file_no, e.key as path, e.value as fv from {base}, lateral variant_explode(v) as e where e.key is not null", base=base)
+    # A nested object stands for itself and once more for its members.
+    inner = F.when(F.col("path").isin(*nested) & F.schema_of_variant("fv").startswith("OBJECT"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    both = spark.sql(
+        """select record, stream_id, file_no, if(inside, concat(path, '.', e.key), path) as path, if(inside, e.value, fv) as fv
+        from {top}, lateral variant_explode_outer(if(inside, fv, null)) as e where not inside or e.key is not null""",
+        top=top.withColumn("inside", F.explode(inner)),
+    ).withColumn("kind", _kind("fv"))
     text = F.when(F.col("kind") == "string", F.try_variant_get("fv", "$", "string")).when(F.col("kind").isNotNull(), F.to_json("fv"))
     return both.select("record", "stream_id", "file_no", "path", "kind", text.alias("value"))
 
 
-def file_profiles(fields: DataFrame) -> DataFrame:
-    """(stream_id, file_no, path, n, kinds, values, shapes): bounded however large the file."""
+def file_schemas(fields: DataFrame) -> DataFrame:
+    """(stream_id, file_no, path, kind, n): the fields of each file with their most frequent type and number of values."""
+    kinds = ("string", "number", "boolean", "object", "array")
+    counts = fields.groupBy("stream_id", "file_no", "path").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds])
+    best = F.greatest(*[f"n_{k}" for k in kinds])
+    kind = F.coalesce(*[F.when((F.col(f"n_{k}") == best) & (best > 0), k) for k in sorted(kinds)])
+    filled = sum((F.col(f"n_{k}") for k in kinds), F.lit(0)).alias("n")
+    return counts.select("stream_id", "file_no", "path", kind.alias("kind"), filled)
+
+
+def content_sketches(fields: DataFrame) -> DataFrame:
+    """(stream_id, file_no, path, vals, shapes): bounded however large the file."""
     quoted = F.regexp_extract_all("value", F.lit(r'"((?:[^"\\]|\\.)+)"'), F.lit(1))
     parts = F.when(F.col("kind").isin("array", "object") & (F.size(quoted) > 0), quoted).otherwise(F.array("value"))
 
@@ -77,17 +91,9 @@ def file_profiles(fields: DataFrame) -> DataFrame:
     each = fields.where("kind is not null").select("stream_id", "file_no", "path", F.explode(parts).alias("part")).where("part is not null")
     both = each.select("stream_id", "file_no", "path", F.posexplode(F.array(hashed(F.col("part")), hashed(shape(F.col("part"))))).alias("which", "h"))
     least = both.groupBy("stream_id", "file_no", "path", "which", (F.col("h") % BUCKETS).alias("bin")).agg(F.min("h").alias("h"))
-    sketch = least.groupBy("stream_id", "file_no", "path").agg(
+    return least.groupBy("stream_id", "file_no", "path").agg(
         F.array_sort(F.collect_list(F.when(F.col("which") == 0, F.col("h")))).alias("vals"), F.array_sort(F.collect_list(F.when(F.col("which") == 1, F.col("h")))).alias("shapes")
     )
-    none = F.array().cast("array<bigint>")
-    kinds = ("string", "number", "boolean", "object", "array")
-    counts = fields.groupBy("stream_id", "file_no", "path").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds])
-    best = F.greatest(*[f"n_{k}" for k in kinds])
-    kind = F.coalesce(*[F.when((F.col(f"n_{k}") == best) & (best > 0), k) for k in sorted(kinds)])
-    filled = sum((F.col(f"n_{k}") for k in kinds), F.lit(0)).alias("n")
-    out = counts.select("stream_id", "file_no", "path", kind.alias("kind"), filled).join(sketch, ["stream_id", "file_no", "path"], "left")
-    return out.withColumns({"vals": F.coalesce("vals", none), "shapes": F.coalesce("shapes", none)})
 
 
 def _name_likeness(a: str, b: str) -> float:
@@ -115,106 +121,134 @@ def _distinct(a: set[int]) -> int:
     return round(BUCKETS * len(a) / (BUCKETS - len(a) + sum(h // BUCKETS / top for h in a))) if a else 0
 
 
-def flood(start: np.ndarray, edges: list[tuple[np.ndarray, np.ndarray]], rounds: int = 100, least: float = 1e-4) -> np.ndarray:
-    """Fixed point of similarity flooding: the scores of pairs flow along equally labelled edges of both graphs, split evenly
-    among the pairs that an edge leads to, added to the start and normalised by the largest."""
-    even = lambda m: m / np.maximum(m.sum(1, keepdims=True), 1)
-    steps = [(even(a).T, even(b)) for a, b in edges] + [(even(a.T).T, even(b.T)) for a, b in edges]
+def flood(start: np.ndarray, edges: list[tuple[int, int, float]], own: float = 0.5, rounds: int = 100, least: float = 1e-6) -> np.ndarray:
+    """Fixed point of similarity flooding over pairs: every score is a share ``own`` of its start and for the rest what flows in over
+    the edges (to, from, weight). The weights into a pair add up to 1 at most, so it converges and scores stay between 0 and 1."""
+    if not edges:
+        return start
+    to, source, weight = (np.array(x) for x in zip(*edges))
     s = start
     for _ in range(rounds):
-        new = start + s + sum(a @ (start + s) @ b for a, b in steps)
-        new = new / max(new.max(), 1e-12)
+        new = own * start + (1 - own) * np.bincount(to, weight * s[source], minlength=len(s))
         if np.abs(new - s).max() < least:
             return new
         s = new
     return s
 
 
-def correspondences(old: list[dict], new: list[dict], accept: float = 0.4) -> list[tuple[int, int, float]]:
-    """Renames between two profiles, as (old index, new index, score)."""
-    a_paths, b_paths = [f["path"] for f in old], [f["path"] for f in new]
-    gone = [i for i, p in enumerate(a_paths) if p not in set(b_paths)]
-    come = [j for j, p in enumerate(b_paths) if p not in set(a_paths)]
-    if not gone or not come:
+def _level(path: str) -> str:
+    return path.rpartition(".")[0]
+
+
+def _start(x: dict, y: dict) -> float:
+    """Likeness of the names, or of contents that can't agree by chance as two booleans or two single values do."""
+    telling = x["kind"] and x["kind"] == y["kind"] and x["kind"] != "boolean" and min(len(x["vals"]), len(y["vals"])) >= 2
+    return max(_name_likeness(x["path"], y["path"]), _overlap(x["vals"], y["vals"]) if telling else 0.0)
+
+
+def _content(x: dict, y: dict) -> float:
+    """What two fields of a type have in common: values that recur have to do so under either name, of others the shapes have to agree."""
+    if not x["kind"] or x["kind"] != y["kind"]:
+        return 0.0
+    recurs = all(f["n"] >= 8 and _distinct(f["vals"]) <= 0.5 * f["n"] for f in (x, y))
+    values = _overlap(x["vals"], y["vals"])
+    return values if recurs else max(values, _overlap(x["shapes"], y["shapes"]))
+
+
+def correspondences(old: list[dict], new: list[dict], accept: float = 0.42) -> list[tuple[int, int, float]]:
+    """Renames between two schemas, as (old index, new index, score)."""
+    at_old, at_new = {f["path"]: i for i, f in enumerate(old)}, {f["path"]: j for j, f in enumerate(new)}
+    gone = [i for p, i in at_old.items() if p not in at_new]
+    come = [j for p, j in at_new.items() if p not in at_old]
+    open_pairs = [(i, j) for i in gone for j in come if _level(old[i]["path"]) == _level(new[j]["path"])]
+    if not open_pairs:
         return []
+    fields = [(i, at_new[p]) for p, i in at_old.items() if p in at_new] + open_pairs
+    levels = sorted({_level(f["path"]) for f in (*old, *new)})
     kinds = ["string", "number", "boolean", "object", "array"]
-
-    def graph(fields: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        n = 1 + len(fields) + len(kinds)
-        nest, typed = np.zeros((n, n)), np.zeros((n, n))
-        at = {f["path"]: 1 + i for i, f in enumerate(fields)}
-        for f in fields:
-            nest[at.get(f["path"].rsplit(".", 1)[0], 0) if "." in f["path"] else 0, at[f["path"]]] = 1
-            if f["kind"]:
-                typed[at[f["path"]], 1 + len(fields) + kinds.index(f["kind"])] = 1
-        return nest, typed
-
-    na, nb = len(old), len(new)
-    start = np.zeros((1 + na + len(kinds), 1 + nb + len(kinds)))
-    start[0, 0] = 1.0
-    start[1 + na :, 1 + nb :] = np.eye(len(kinds))
-    own = np.zeros((na, nb))
-    for i, x in enumerate(old):
-        for j, y in enumerate(new):
-            if x["path"] == y["path"]:
-                own[i, j] = 1.0
-                continue
-            if x["path"].rpartition(".")[0] != y["path"].rpartition(".")[0]:
-                continue
-            name = _name_likeness(x["path"], y["path"])
-            same_kind = x["kind"] and x["kind"] == y["kind"]
-            telling = same_kind and x["kind"] != "boolean" and min(len(x["vals"]), len(y["vals"])) >= 2
-            # Two booleans, or two single values, agree by chance: enough only where no better pair is left.
-            content = _overlap(x["vals"], y["vals"]) * (1.0 if telling else 0.42) if same_kind else 0.0
-            # Values that hardly ever recur can't overlap; of them the shapes have to agree.
-            unique = telling and x["kind"] == "string" and all(f["n"] > 2 and _distinct(f["vals"]) >= 0.75 * f["n"] for f in (x, y))
-            alike = _overlap(x["shapes"], y["shapes"]) if unique else 0.0
-            kinds_differ = x["kind"] and y["kind"] and x["kind"] != y["kind"]
-            own[i, j] = max(name * (0.75 if kinds_differ else 1.0), content, 0.45 * alike)
-    level = lambda p: p.rpartition(".")[0]
-    for i in gone:
-        for j in come:
-            x, y = old[i], new[j]
-            alone = sum(level(a_paths[k]) == level(x["path"]) for k in gone) == 1 == sum(level(b_paths[k]) == level(y["path"]) for k in come)
-            # The one field that goes and the one that comes, of one kind and shape: only values that recur can speak against them.
-            recurs = all(f["n"] >= 8 and _distinct(f["vals"]) <= 0.5 * f["n"] for f in (x, y))
-            if alone and level(x["path"]) == level(y["path"]) and x["kind"] == y["kind"] and x["shapes"] & y["shapes"] and (x["vals"] & y["vals"] or not recurs):
-                own[i, j] = max(own[i, j], accept)
-    start[1 : 1 + na, 1 : 1 + nb] = own
-    (nest_a, type_a), (nest_b, type_b) = graph(old), graph(new)
-    s = flood(start, [(nest_a, nest_b), (type_a, type_b)])[1 : 1 + na, 1 : 1 + nb]
-    out = []
-    free_i, free_j = set(gone), set(come)
-    ranked = sorted(((s[i, j] * own[i, j], own[i, j], i, j) for i in gone for j in come if own[i, j] >= accept), key=lambda t: (-t[0], a_paths[t[2]], b_paths[t[3]]))
-    for score, _, i, j in ranked:
-        if i in free_i and j in free_j:
-            free_i.discard(i), free_j.discard(j)
-            out.append((i, j, float(own[i, j])))
+    # Nodes: what is certain, the levels, the pairs of types, the pairs of fields.
+    first_kind, first_field = 1 + len(levels), 1 + len(levels) + len(kinds) ** 2
+    start = np.zeros(first_field + len(fields))
+    start[:first_kind] = 1.0
+    start[first_kind:first_field] = np.eye(len(kinds)).ravel()
+    edges: list[tuple[int, int, float]] = [(0, 0, 1.0)]
+    size, types_old, types_new = Counter(), Counter(), Counter()
+    for f in old:
+        size[_level(f["path"])] += 1
+    for i, j in fields[: len(fields) - len(open_pairs)]:
+        types_old[old[i]["kind"]] += 1
+        types_new[new[j]["kind"]] += 1
+    go, come_to = Counter(_level(old[i]["path"]) for i in gone), Counter(_level(new[j]["path"]) for j in come)
+    go_kind, come_kind = Counter((_level(old[i]["path"]), old[i]["kind"]) for i in gone), Counter((_level(new[j]["path"]), new[j]["kind"]) for j in come)
+    # Nothing speaks against a type that no other field has.
+    edges += [(first_kind + t * (len(kinds) + 1), 0, 1.0) for t, kind in enumerate(kinds) if not types_old[kind] + types_new[kind]]
+    for k, (i, j) in enumerate(fields, first_field):
+        x, y = old[i], new[j]
+        level, same = _level(x["path"]), x["path"] == y["path"]
+        at_level = 1 + levels.index(level)
+        start[k] = 1.0 if same else _start(x, y)
+        # Of what flows from a pair of levels or types, competing pairs get their part only.
+        edges.append((k, at_level, (1.0 if same else 2 / (go[level] + come_to[level])) / 3))
+        edges.append((at_level, k, 1 / size[level] / (1 if same else max(go[level], come_to[level]))))
+        if x["kind"] and y["kind"]:
+            at_kind = first_kind + kinds.index(x["kind"]) * len(kinds) + kinds.index(y["kind"])
+            edges.append((k, at_kind, (1.0 if same else 2 / (go_kind[level, x["kind"]] + come_kind[level, y["kind"]])) / 3))
+            if same:
+                edges.append((at_kind, k, 1 / max(types_old[x["kind"]], types_new[y["kind"]])))
+        edges.append((k, 0, (1.0 if same else _content(x, y)) / 3))
+    s = flood(start, edges)
+    scores = {pair: float(s[k]) for k, pair in enumerate(fields, first_field) if k >= len(start) - len(open_pairs)}
+    out: list[tuple[int, int, float]] = []
+    used: set[tuple[str, int]] = set()
+    for (i, j), score in sorted(scores.items(), key=lambda t: (-t[1], old[t[0][0]]["path"], new[t[0][1]]["path"])):
+        if score >= accept and ("old", i) not in used and ("new", j) not in used:
+            used |= {("old", i), ("new", j)}
+            out.append((i, j, score))
     return out
 
 
-def schema_changes(fields: DataFrame, files: DataFrame, accept: float = 0.4) -> DataFrame:
+def schema_changes(fields: DataFrame, files: DataFrame, accept: float = 0.42) -> DataFrame:
     """``fields`` of ``record_fields`` and ``files`` (stream_id, file_no) to one row per change between consecutive files."""
     order = Window.partitionBy("stream_id").orderBy("file_no")
     pairs = files.where("stream_id is not null and file_no is not null").select("stream_id", F.col("file_no").cast("int").alias("file_no")).distinct()
-    pairs = pairs.withColumn("next", F.lead("file_no").over(order)).withColumn("first", F.lag("file_no").over(order).isNull())
-    prof = file_profiles(fields).join(pairs, ["stream_id", "file_no"])
-    new = prof.where("not first").select("stream_id", "file_no", F.lit(True).alias("is_new"), "path", "kind", "n", "vals", "shapes")
-    old = prof.where("next is not null").select("stream_id", F.col("next").alias("file_no"), F.lit(False).alias("is_new"), "path", "kind", "n", "vals", "shapes")
-    field = F.struct("path", "kind", "n", "vals", "shapes")
+    pairs = pairs.withColumn("next", F.lead("file_no").over(order)).withColumn("before", F.lag("file_no").over(order))
+    prof = file_schemas(fields).join(pairs, ["stream_id", "file_no"])
+    new = prof.where("before is not null").select("stream_id", "file_no", F.lit(True).alias("is_new"), "path", "kind", "n")
+    old = prof.where("next is not null").select("stream_id", F.col("next").alias("file_no"), F.lit(False).alias("is_new"), "path", "kind", "n")
+    field = F.struct("path", "kind", "n")
     sides = new.unionByName(old).groupBy("stream_id", "file_no").agg(
-        F.array_sort(F.collect_list(F.when(~F.col("is_new"), field)), ).alias("old"), F.array_sort(F.collect_list(F.when(F.col("is_new"), field))).alias("new")
+        F.array_sort(F.collect_list(F.when(~F.col("is_new"), field))).alias("old"), F.array_sort(F.collect_list(F.when(F.col("is_new"), field))).alias("new")
     )
-    paths = lambda c: F.transform(c, lambda f: F.concat_ws("=", f["path"], f["kind"]))
-    sides = sides.where(~(paths("old") == paths("new")))  # most files change nothing
+    told = lambda c: F.transform(c, lambda f: F.concat_ws("=", f["path"], f["kind"]))
+    sides = cut_lineage(sides.where(~(told("old") == told("new"))))  # most files change nothing; what is left has no contents
+    # Contents are read where on some level one field goes and another comes.
+    paths, level = lambda c: F.col(f"{c}.path"), lambda p: F.regexp_replace(p, r"\.?[^.]*$", "")
+    gone, come = F.array_except(paths("old"), paths("new")), F.array_except(paths("new"), paths("old"))
+    both = F.array_intersect(F.transform(gone, level), F.transform(come, level))
+    on = lambda c: F.filter(c, lambda p: F.array_contains(both, level(p)))
+    before = pairs.select("stream_id", "file_no", "before")
+    asked = sides.where(F.size(both) > 0).join(before, ["stream_id", "file_no"])
+    asked = asked.select("stream_id", F.col("before").alias("file_no"), F.explode(on(gone)).alias("path")).union(asked.select("stream_id", "file_no", F.explode(on(come)).alias("path"))).distinct()
+    wanted = fields.join(asked.select("stream_id", "file_no").distinct(), ["stream_id", "file_no"], "left_semi").join(asked, ["stream_id", "file_no", "path"], "left_semi")
+    sketches = content_sketches(wanted).join(pairs, ["stream_id", "file_no"])
+    sketch = F.struct("path", "vals", "shapes")
+    by_side = sketches.select("stream_id", "file_no", F.lit(True).alias("is_new"), sketch.alias("s")).where(sketches["before"].isNotNull()).union(
+        sketches.where("next is not null").select("stream_id", F.col("next").alias("file_no"), F.lit(False).alias("is_new"), sketch.alias("s"))
+    ).groupBy("stream_id", "file_no").agg(F.collect_list(F.when(~F.col("is_new"), F.col("s"))).alias("old_s"), F.collect_list(F.when(F.col("is_new"), F.col("s"))).alias("new_s"))
+    sides = sides.join(by_side, ["stream_id", "file_no"], "left")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def with_content(fields, sketches) -> list[dict]:  # noqa: ANN001
+            by = {s["path"]: s for s in ([] if sketches is None else sketches)}
+            none: dict = {"vals": [], "shapes": []}
+            return [{**f, "vals": set(by.get(f["path"], none)["vals"]), "shapes": set(by.get(f["path"], none)["shapes"])} for f in fields]
+
         for b in batches:
             rows = []
-            for stream, file_no, old, new in zip(b["stream_id"], b["file_no"], b["old"], b["new"]):
-                old, new = ([{**f, "vals": set(f["vals"]), "shapes": set(f["shapes"])} for f in side] for side in (old, new))
+            for stream, file_no, old, new, old_s, new_s in zip(b["stream_id"], b["file_no"], b["old"], b["new"], b["old_s"], b["new_s"]):
+                old, new = with_content(old, old_s), with_content(new, new_s)
                 renamed = correspondences(old, new, accept)
-                by_old, by_new = {i: j for i, j, _ in renamed}, {j for _, j, _ in renamed}
+                by_old, by_new = {i for i, _, _ in renamed}, {j for _, j, _ in renamed}
                 a, c = {f["path"]: f for f in old}, {f["path"]: f for f in new}
                 for i, j, score in renamed:
                     rows.append((stream, file_no, "renamed", old[i]["path"], new[j]["path"], score, old[i]["kind"], new[j]["kind"]))
@@ -227,41 +261,44 @@ def schema_changes(fields: DataFrame, files: DataFrame, accept: float = 0.4) ->
     return sides.mapInPandas(compare, CHANGES)
 
 
-def canonical_names(changes: DataFrame, max_names: int = 100_000) -> dict[str, str]:
-    """Current name to the name of its family of renames; the table of distinct renames is one of schema names, not of data."""
-    links = changes.where("change = 'renamed'").groupBy("old_path", "new_path").agg(F.count("*").alias("n")).limit(max_names + 1).collect()
-    if len(links) > max_names:
-        raise ValueError(f"more than {max_names} distinct renames")
-    root: dict[str, str] = {}
-
-    def find(x: str) -> str:
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
-
-    seen: dict[str, int] = {}
+def canonical_names(changes: DataFrame, together: DataFrame) -> dict[str, str]:
+    """Current name to the name of its family of renames. Two names that some file has side by side (``together``: a, b) are different fields,
+    whatever one stream calls a rename, and never come into one family. What reaches the driver are the distinct renames: schema names, not data."""
+    links = changes.where("change = 'renamed'").groupBy("old_path", "new_path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "old_path", "new_path").collect()
+    names = sorted({r[c] for r in links for c in ("old_path", "new_path")})
+    apart = {(r["a"], r["b"]) for r in together.where(F.col("a").isin(names) & F.col("b").isin(names)).distinct().collect()} if names else set()
+    family = {x: [x] for x in names}
+    seen: Counter[str] = Counter()
     for r in links:
-        seen[r["old_path"]] = seen.get(r["old_path"], 0) + r["n"]
-        root[find(r["old_path"])] = find(r["new_path"])
-    family: dict[str, list[str]] = {}
-    for x in list(root):
-        family.setdefault(find(x), []).append(x)
-    return {x: min(xs, key=lambda p: (-seen.get(p, 0), p)) for xs in family.values() for x in xs}  # the name most often left is the first
+        seen[r["old_path"]] += r["n"]
+        a, b = family[r["old_path"]], family[r["new_path"]]
+        if a is not b and not any((x, y) in apart or (y, x) in apart for x in a for y in b):
+            a += b
+            family.update(dict.fromkeys(b, a))
+    return {x: min(xs, key=lambda p: (-seen[p], p)) for x, xs in family.items()}  # the name most often left is the first
 
 
-def consistent_table(df: DataFrame, fields: DataFrame, changes: DataFrame, key: str, max_columns: int = 2_000) -> DataFrame:
+def consistent_table(df: DataFrame, fields: DataFrame, changes: DataFrame, key: str, most_columns: int = 2_000) -> DataFrame:
     """All records in one table: a column per family of names (dots become underscores), cast to the type most common in the family;
-    values that don't cast stay readable in ``uncast``. Unreadable records keep their row with null fields."""
-    names = canonical_names(changes)
-    canon = F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("path")], F.col("path")) if names else F.col("path")
-    named = fields.withColumn("name", canon)
-    kinds = named.where("kind is not null").groupBy("name", "kind").agg(F.count("*").alias("n")).groupBy("name").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"))
-    columns = sorted((r["name"], r["kind"]) for r in kinds.limit(max_columns + 1).collect())
-    if len(columns) > max_columns:
-        raise ValueError(f"more than {max_columns} fields")
-    # Of two names of a family in one record the canonical one counts.
-    one = named.where("value is not null").groupBy("record", "name").agg(F.max_by("value", F.struct(F.col("path") == F.col("name"), "path")).alias("value"))
-    packed = one.groupBy("record").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("m"))
+    values that don't cast, and of two names of a family in one record the values of all but the canonical one, stay readable in ``uncast``. The
+    fields beyond the ``most_columns`` most frequent stand in the map ``f_more``. Unreadable records keep their row with null fields."""
+    per_file = fields.select("stream_id", "file_no", "path").distinct()
+    together = per_file.withColumnRenamed("path", "a").join(per_file.withColumnRenamed("path", "b"), ["stream_id", "file_no"]).where("a < b").select("a", "b")
+    names = canonical_names(changes, together)
+    if names:
+        canon = F.broadcast(df.sparkSession.createDataFrame(sorted(names.items()), "path string, canon string"))  # schema names
+        named = fields.join(canon, "path", "left").withColumn("name", F.coalesce("canon", "path"))
+    else:
+        named = fields.withColumn("name", F.col("path"))
+    kinds = named.where("kind is not null").groupBy("name", "kind").agg(F.count("*").alias("n")).groupBy("name").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"), F.sum("n").alias("n"))
+    columns = sorted((r["name"], r["kind"]) for r in kinds.orderBy(F.desc("n"), "name").limit(most_columns).collect())
+    filled = named.where("value is not null")
+    order = F.struct(F.when(F.col("path") == F.col("name"), 0).otherwise(1).alias("other"), "path", "value")
+    one = filled.groupBy("record", "name").agg(F.array_sort(F.collect_list(order)).alias("vs"))  # as many as the family has names
+    packed = one.groupBy("record").agg(
+        F.map_from_entries(F.collect_list(F.struct("name", F.col("vs")[0]["value"].alias("value")))).alias("m"),
+        F.flatten(F.collect_list(F.transform(F.slice("vs", F.lit(2), F.greatest(F.size("vs") - 1, F.lit(0))), lambda v: F.struct(v["path"].alias("field"), v["value"].alias("value"))))).alias("second"),
+    )
     out = df.join(packed.withColumnRenamed("record", "r_key"), F.col(key) == F.col("r_key"), "left").drop("r_key")
     typed, failed = {}, []
     for name, kind in columns:
@@ -270,10 +307,10 @@ def consistent_table(df: DataFrame, fields: DataFrame, changes: DataFrame, key:
         typed["f_" + name.replace(".", "_")] = value
         if kind in ("number", "boolean"):
             failed.append(F.when(raw.isNotNull() & value.isNull(), F.struct(F.lit(name).alias("field"), raw.alias("value"))))
-    uncast = F.filter(F.array(*failed), lambda x: x.isNotNull()) if failed else F.lit(None).cast("array<struct<field:string,value:string>>")
-    return out.select(*df.columns, *[c.alias(n) for n, c in typed.items()], uncast.alias("uncast"))
-
-
-def union_by_name(frames: list[DataFrame]) -> DataFrame:
-    """Union that keeps every column of every frame."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    uncast = F.filter(F.array(*failed), lambda x: x.isNotNull()) if failed else F.array().cast("array<struct<field:string,value:string>>")
+    none = F.array().cast("array<struct<field:string,value:string>>")
+    typed["uncast"] = F.concat(uncast, F.coalesce("second", none))
+    if len(columns) == most_columns:
+        shown = [n for n, _ in columns]
+        typed["f_more"] = F.map_filter("m", lambda k, _: ~k.isin(shown))
+    return out.select(*df.columns, *[c.alias(n) for n, c in typed.items()])

@@ -1,5 +1,6 @@
 import json
 
+from fathom.operators import drift
 from fathom.operators.drift import consistent_table, correspondences, record_fields, schema_changes
 
 SCHEMA = "id long, stream string, file_no int, payload string, extra string"
@@ -76,3 +77,37 @@ def test_large_files_are_told_apart_like_small_ones(spark):
     a = [{"id": f"p{i % 50}_r1", "weight": i * 7 + 1, "code": f"k{i % 900}"} for i in range(2500)]
     b = [{"id": f"p{i % 50}_r1", "volume": 10**6 + i * 3, "mark": f"k{(i * 7) % 900}"} for i in range(2500)]
     assert found(changes(spark, [a, b])[2]) == {(2, "removed", "weight", ""), (2, "added", "", "volume"), (2, "renamed", "code", "mark")}
+
+
+def test_without_flooding_names_and_contents_alone_miss_renames(spark, monkeypatch):
+    f = lambda p, kind, vals: {"path": p, "kind": kind, "n": 6, "vals": vals, "shapes": {1}}
+    a = [f("id", "string", {1, 2}), f("status", "boolean", {3}), f("size", "number", {5, 6})]
+    b = [f("id", "string", {1, 2}), f("outcome", "boolean", {3}), f("size", "number", {5, 6})]
+    assert [(i, j) for i, j, _ in correspondences(a, b)] == [(1, 1)]
+    monkeypatch.setattr(drift, "flood", lambda start, edges: start)
+    assert correspondences(a, b) == []
+
+
+def test_fields_that_compete_need_more_than_their_place():
+    f = lambda p, vals: {"path": p, "kind": "string", "n": 6, "vals": vals, "shapes": {1}}
+    a = [f("left", {1, 2}), f("right", {3, 4})]
+    assert correspondences(a, [f("upper", {5, 6}), f("lower", {7, 8})]) == []
+    assert [(i, j) for i, j, _ in correspondences(a, [f("upper", {5, 6}), f("lower", {1, 2})])] == [(0, 1)]
+
+
+def test_types_that_changed_together_count_for_a_rename():
+    f = lambda p, kind: {"path": p, "kind": kind, "n": 6, "vals": set(), "shapes": set()}
+    old = [f(p, "number") for p in "abcdefgh"]
+    alike = [*old, f("font_size", "number")], [*(f(p, "string") for p in "abcdefgh"), f("size_pt", "string")]
+    apart = [*old, f("font_size", "number")], [*old, f("size_pt", "string")]
+    assert correspondences(*alike)[0][2] > correspondences(*apart, accept=0.0)[0][2]
+
+
+def test_names_side_by_side_stay_apart_and_no_value_is_lost(spark):
+    a = [{"status": "PASS", "n": 1}] * 4 + [{"status": "FAIL", "n": 1}] * 4
+    b = [{"outcome": "PASS", "n": 1}] * 4 + [{"outcome": "FAIL", "n": 1}] * 4
+    df, fields, ch = changes(spark, [a, b, [{"status": "A", "outcome": "B", "n": 1}] * 2])
+    t = consistent_table(df, fields, ch, "id").orderBy("id").collect()
+    assert [(r["f_status"], r["f_outcome"]) for r in t[-2:]] == [("A", "B")] * 2 and t[0]["f_status"] == "PASS" and t[8]["f_outcome"] == "PASS"
+    few = consistent_table(df, fields, ch, "id", most_columns=1).orderBy("id").collect()
+    assert few[-1]["f_n"] == 1 and few[-1]["f_more"] == {"status": "A", "outcome": "B"}
