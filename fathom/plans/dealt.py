@@ -58,7 +58,8 @@ def p4_instants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return p4_instants(spark, d).select("src_table", "row_key", "field", "utc_micros")
+    """The unambiguous instants; values whose order of day and month no value of their source or locale tells are in p4_instants only, marked."""
+    return p4_instants(spark, d).where("status <> 'ambiguous'").select("src_table", "row_key", "field", "utc_micros")
 
 
 QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p2_found": p2_found, "p2_table": p2_table, "p3_found": p3_found, "p3_grid": p3_grid, "p4_found": p4_found, "p4_instants": p4_instants}

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.operators.instants import mixture, normalise_instants, query_moments, readings
+from fathom.operators.instants import FORMATS, mixture, normalise_instants, query_moments, readings
 
 UTC = dt.timezone.utc
 
@@ -46,17 +46,42 @@ def test_no_moment(text):
     assert readings(text, "UTC", "en-US") == []
 
 
-def test_mixture_follows_data_of_the_same_order():
-    w = mixture([(("dmy", "mdy"), 10), (("mdy",), 5), (("iso",), 3)], True)
-    assert w["mdy"] > 100 * w["dmy"]
+def test_long_texts_are_read_too():
+    assert [v for _, v in readings(" " * 200 + "2023-01-02T00:00:00Z" + "\n" * 90, "UTC", "en-US")] == [us(2023, 1, 2)]
+
+
+DMY, MDY, ISO = (FORMATS.index(f) for f in ("dmy", "mdy", "iso"))
+
+
+def test_mixture_learns_the_order_from_the_values_that_tell_it():
+    flat = [1.0] * len(FORMATS)
+    sets = [((DMY, MDY), 10), ((MDY,), 5), ((ISO,), 3)]
+    w = mixture(sets, flat)
+    assert w[MDY] > 5 * w[DMY]
+    start = mixture(sets, flat, rounds=0)  # without the steps of the algorithm nothing is told
+    assert start[MDY] == start[DMY]
+    general = mixture([((DMY, MDY), 900), ((DMY,), 600)], flat)
+    assert mixture([((DMY, MDY), 4)], [4 * x for x in general])[DMY] > 0.6  # the locale's order
+    w = mixture([((DMY, MDY), 40), ((MDY,), 60)], [4 * x for x in general])
+    assert w[MDY] > w[DMY]  # which the source's own values overturn
+
+
+def rows_of(spark, rows, **kw):
+    df = spark.createDataFrame(rows, "id long, text string, s string, z string, l string, format int")
+    out = normalise_instants(df, "id", F.col("text"), F.col("s"), F.col("z"), F.col("l"), **kw)
+    return sorted((r.row_key, r.utc_micros, r.format, r.status) for r in out.collect())
 
 
 def test_rows(spark):
     rows = [(1, "03/04/2021 10:00", "a", "UTC", "en-US", 9), (1, "03/04/2021 10:00", "a", "UTC", "en-US", 9), (2, "03/04/2021 10:00", "b", "Europe/Berlin", "de-DE", 9), (3, None, "a", None, None, 9), (4, "2021-01-01", None, "No/Where", None, 9)]
-    df = spark.createDataFrame(rows, "id long, text string, s string, z string, l string, format int")
-    got = sorted((r.row_key, r.utc_micros, r.status) for r in normalise_instants(df, "id", F.col("text"), F.col("s"), F.col("z"), F.col("l")).collect())
-    assert got == [(1, us(2021, 3, 4, 10), "resolved")] * 2 + [(2, us(2021, 4, 3, 8), "resolved"), (4, us(2021, 1, 1), "certain")]
-    assert normalise_instants(df.limit(0), "id", F.col("text"), F.col("s"), F.col("z"), F.col("l")).count() == 0
+    assert rows_of(spark, rows) == [(1, us(2021, 3, 4, 10), "mdy", "ambiguous")] * 2 + [(2, us(2021, 4, 3, 8), "dmy", "ambiguous"), (4, us(2021, 1, 1), "iso", "certain")]
+    assert rows_of(spark, []) == []
+
+
+def test_values_of_the_source_or_its_locale_resolve(spark):
+    tell = [(10 + i, f"0{i}/{13 + i}/2021", "told", "UTC", "en-US", 0) for i in range(1, 9)]
+    got = rows_of(spark, [*tell, (1, "03/04/2021", "told", "UTC", "en-US", 0), (2, "03/04/2021", "other", "UTC", "en-US", 0), (3, "03/04/2021", "told", "UTC", "fr-FR", 0), (4, "05/05/2021", "x", "UTC", "fr-FR", 0)])
+    assert got[:4] == [(1, us(2021, 3, 4), "mdy", "resolved"), (2, us(2021, 3, 4), "mdy", "resolved"), (3, us(2021, 4, 3), "dmy", "ambiguous"), (4, us(2021, 5, 5), "dmy", "certain")]
 
 
 def test_query_parameters(spark):
