@@ -207,34 +207,37 @@ def correspondences(old: list[dict], new: list[dict], accept: float = 0.42) -> l
     return out
 
 
-def schema_changes(fields: DataFrame, files: DataFrame, accept: float = 0.42) -> DataFrame:
-    """``fields`` of ``record_fields`` and ``files`` (stream_id, file_no) to one row per change between consecutive files."""
+def schema_changes(
+    df: DataFrame, key: str, stream: str, file_no: str, payload: str, nested: tuple[str, ...] = ("observed", "expected"), accept: float = 0.42, most_sent: int = 100_000
+) -> DataFrame:
+    """One row per change between consecutive files of a stream. The list of the files whose contents are asked for is broadcast while it has at
+    most ``most_sent`` rows, and joined by a shuffle beyond."""
     order = Window.partitionBy("stream_id").orderBy("file_no")
-    pairs = files.where("stream_id is not null and file_no is not null").select("stream_id", F.col("file_no").cast("int").alias("file_no")).distinct()
+    pairs = df.select(F.col(stream).alias("stream_id"), F.col(file_no).cast("int").alias("file_no")).where("stream_id is not null and file_no is not null").distinct()
     pairs = pairs.withColumn("next", F.lead("file_no").over(order)).withColumn("before", F.lag("file_no").over(order))
-    prof = file_schemas(fields).join(pairs, ["stream_id", "file_no"])
-    new = prof.where("before is not null").select("stream_id", "file_no", F.lit(True).alias("is_new"), "path", "kind", "n")
-    old = prof.where("next is not null").select("stream_id", F.col("next").alias("file_no"), F.lit(False).alias("is_new"), "path", "kind", "n")
-    field = F.struct("path", "kind", "n")
-    sides = new.unionByName(old).groupBy("stream_id", "file_no").agg(
-        F.array_sort(F.collect_list(F.when(~F.col("is_new"), field))).alias("old"), F.array_sort(F.collect_list(F.when(F.col("is_new"), field))).alias("new")
-    )
+    # A few rows per file: the schemas, without contents.
+    prof = cut_lineage(file_schemas(record_fields(df, key, stream, file_no, payload, nested)).join(pairs, ["stream_id", "file_no"], "right").groupBy("stream_id", "file_no", "next", "before").agg(
+        F.array_sort(F.filter(F.collect_list(F.struct("path", "kind", "n")), lambda f: f["path"].isNotNull())).alias("fields")
+    ))
+    new = prof.where("before is not null").select("stream_id", "file_no", "before", F.col("fields").alias("new"))
+    old = prof.where("next is not null").select("stream_id", F.col("next").alias("file_no"), F.col("fields").alias("old"))
     told = lambda c: F.transform(c, lambda f: F.concat_ws("=", f["path"], f["kind"]))
-    sides = cut_lineage(sides.where(~(told("old") == told("new"))))  # most files change nothing; what is left has no contents
+    sides = new.join(old, ["stream_id", "file_no"]).where(~(told("old") == told("new")))  # most files change nothing
     # Contents are read where on some level one field goes and another comes.
     paths, level = lambda c: F.col(f"{c}.path"), lambda p: F.regexp_replace(p, r"\.?[^.]*$", "")
     gone, come = F.array_except(paths("old"), paths("new")), F.array_except(paths("new"), paths("old"))
     both = F.array_intersect(F.transform(gone, level), F.transform(come, level))
     on = lambda c: F.filter(c, lambda p: F.array_contains(both, level(p)))
-    before = pairs.select("stream_id", "file_no", "before")
-    asked = sides.where(F.size(both) > 0).join(before, ["stream_id", "file_no"])
-    asked = asked.select("stream_id", F.col("before").alias("file_no"), F.explode(on(gone)).alias("path")).union(asked.select("stream_id", "file_no", F.explode(on(come)).alias("path"))).distinct()
-    wanted = fields.join(asked.select("stream_id", "file_no").distinct(), ["stream_id", "file_no"], "left_semi").join(asked, ["stream_id", "file_no", "path"], "left_semi")
-    sketches = content_sketches(wanted).join(pairs, ["stream_id", "file_no"])
-    sketch = F.struct("path", "vals", "shapes")
-    by_side = sketches.select("stream_id", "file_no", F.lit(True).alias("is_new"), sketch.alias("s")).where(sketches["before"].isNotNull()).union(
-        sketches.where("next is not null").select("stream_id", F.col("next").alias("file_no"), F.lit(False).alias("is_new"), sketch.alias("s"))
-    ).groupBy("stream_id", "file_no").agg(F.collect_list(F.when(~F.col("is_new"), F.col("s"))).alias("old_s"), F.collect_list(F.when(F.col("is_new"), F.col("s"))).alias("new_s"))
+    sides = cut_lineage(sides.withColumns({"gone": on(gone), "come": on(come)}))
+    open_sides = sides.where(F.size("gone") > 0)
+    side = lambda no, is_new, c: open_sides.select("stream_id", F.col(no).alias("file_no"), F.col("file_no").alias("at"), F.lit(is_new).alias("is_new"), F.explode(c).alias("path"))
+    asked = cut_lineage(side("before", False, "gone").union(side("file_no", True, "come")))
+    send = (lambda x: F.broadcast(x)) if asked.limit(most_sent + 1).count() <= most_sent else lambda x: x
+    asked_files = asked.select(F.col("stream_id").alias("a_stream"), F.col("file_no").alias("a_no")).distinct()
+    of_files = df.join(send(asked_files), (F.col(stream) == F.col("a_stream")) & (F.col(file_no).cast("int") == F.col("a_no")), "left_semi")
+    wanted = record_fields(of_files, key, stream, file_no, payload, nested).join(send(asked.select("stream_id", "file_no", "path").distinct()), ["stream_id", "file_no", "path"], "left_semi")
+    sketches = content_sketches(wanted).join(asked, ["stream_id", "file_no", "path"]).select("stream_id", F.col("at").alias("file_no"), "is_new", F.struct("path", "vals", "shapes").alias("s"))
+    by_side = sketches.groupBy("stream_id", "file_no").agg(F.collect_list(F.when(~F.col("is_new"), F.col("s"))).alias("old_s"), F.collect_list(F.when(F.col("is_new"), F.col("s"))).alias("new_s"))
     sides = sides.join(by_side, ["stream_id", "file_no"], "left")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

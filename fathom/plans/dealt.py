@@ -25,19 +25,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_flags(spark, d).select("src_table", "row_key", "field")
 
 
-def _drift(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rec = table(spark, d, "screener_records")
-    fields = record_fields(rec, "record_id", "stream_id", "file_no", "payload")
-    return rec, fields, schema_changes(fields, rec)
+RECORDS = ("record_id", "stream_id", "file_no", "payload")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _drift(spark, d)[2].select("stream_id", "file_no", "change", "old_path", "new_path")
+    return schema_changes(table(spark, d, "screener_records"), *RECORDS).select("stream_id", "file_no", "change", "old_path", "new_path")
 
 
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
-    rec, fields, changes = _drift(spark, d)
-    return consistent_table(rec, fields, changes, "record_id").drop("payload")
+    rec = table(spark, d, "screener_records")
+    return consistent_table(rec, record_fields(rec, *RECORDS), schema_changes(rec, *RECORDS), "record_id").drop("payload")
 
 
 def p3_grid(spark: SparkSession, d: str) -> DataFrame:

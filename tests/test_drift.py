@@ -13,8 +13,7 @@ def changes(spark, files, **kw):
             rows.append((len(rows), "s", f, r if isinstance(r, str) else json.dumps(r), "e"))
     df = spark.createDataFrame(rows, SCHEMA)
     fields = record_fields(df, "id", "stream", "file_no", "payload")
-    files_ = df.select(df["stream"].alias("stream_id"), "file_no")
-    return df, fields, schema_changes(fields, files_, **kw)
+    return df, fields, schema_changes(df, "id", "stream", "file_no", "payload", **kw)
 
 
 def found(c):
@@ -111,3 +110,8 @@ def test_names_side_by_side_stay_apart_and_no_value_is_lost(spark):
     assert [(r["f_status"], r["f_outcome"]) for r in t[-2:]] == [("A", "B")] * 2 and t[0]["f_status"] == "PASS" and t[8]["f_outcome"] == "PASS"
     few = consistent_table(df, fields, ch, "id", most_columns=1).orderBy("id").collect()
     assert few[-1]["f_n"] == 1 and few[-1]["f_more"] == {"status": "A", "outcome": "B"}
+
+
+def test_shuffled_like_broadcast(spark):
+    a, b = [{"status": "PASS", "n": 1}, {"status": "FAIL", "n": 2}], [{"outcome": "PASS", "n": 1}, {"outcome": "FAIL", "n": 2}]
+    assert found(changes(spark, [a, b], most_sent=0)[2]) == found(changes(spark, [a, b])[2]) == {(2, "renamed", "status", "outcome")}
