@@ -5,9 +5,13 @@ by array operations over whole Arrow batches; each distinct piece of a batch is
 characters and encoded once by the tokenizers library, and the ids are gathered back. Ids are those of encoding the whole text
 without special tokens: byte-level BPE never merges across pieces, and strings of special tokens are ordinary text.
 
-Decoding reverses the byte table; bytes of a character split between tokens are joined before they are decoded.
+``encode_with_offsets`` adds the characters of the text that each id stands for: the vocabulary tells its bytes, and their positions
+in the text's UTF-8 the characters. The ids of a character split between tokens all have that character.
 
-Defined results: null and empty texts have an empty list of ids. Lone surrogates, which UTF-8 doesn't have, become U+FFFD.
+Decoding reverses the byte table, of whole batches at once; bytes of a character split between tokens are joined before they are decoded.
+
+Defined results: null and empty texts have an empty list of ids. Lone surrogates, which UTF-8 doesn't have, become U+FFFD. Ids that the
+vocabulary doesn't have, and bytes that are no UTF-8, decode to U+FFFD. Null ids decode to a null text.
 """
 
 from __future__ import annotations
@@ -154,10 +158,57 @@ def token_counts(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_
     return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens long")
 
 
+@cache
+def _id_bytes(folder: str, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ids, flat, and where each id's begin; the last entry, for ids beyond the vocabulary, is U+FFFD."""
+    t = load(folder, name)
+    raw = [bytes(UNBYTES[c] for c in x) if (x := t.id_to_token(i)) is not None and all(c in UNBYTES for c in x) else (x or "\ufffd").encode() for i in range(t.get_vocab_size())]
+    raw.append("\ufffd".encode())
+    return np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+
+
+def offsets(texts: list[str], ids: np.ndarray, counts: np.ndarray, folder: str, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """First character of each id's bytes, and the one behind the last, in the text that the id is from."""
+    _, begin = _id_bytes(folder, name)
+    cp, starts = code_points(texts)
+    width = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + ((cp >= 0x10000) & (cp < 0x110000))
+    width[cp == 0x110000] = 0  # between texts
+    ends = np.cumsum(width)
+    size = begin[ids + 1] - begin[ids]
+    to = np.cumsum(size)  # as the ids of all texts in a row are all bytes of all texts
+    base = np.repeat(starts[:-1], counts)
+    return np.searchsorted(ends, to - size, side="right") - base, np.searchsorted(ends, to - 1, side="right") + 1 - base
+
+
+def encode_with_offsets(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """(key, ids, starts, ends): the token ids of every row's text, and the characters from ``starts`` to before ``ends`` that each is of."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(folder, tokenizer)
+        for r in rows:
+            texts = _texts(r.column(1))
+            ids, counts = encode_arrays(texts, pieces)
+            at = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (ids, *offsets(texts, ids, counts, folder, tokenizer))]
+            yield pa.RecordBatch.from_arrays([r.column(0), *lists], names=[key, "ids", "starts", "ends"])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>, starts array<int>, ends array<int>")
+
+
+def decode_lists(ids: np.ndarray, counts: np.ndarray, folder: str, name: str) -> list[str]:
+    """The texts of lists of ids, given in a row."""
+    flat, begin = _id_bytes(folder, name)
+    ids = np.where((ids < 0) | (ids >= len(begin) - 2), len(begin) - 2, ids)
+    size = begin[ids + 1] - begin[ids]
+    ends = np.cumsum(size)
+    raw = flat[np.repeat(begin[ids] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+    cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+    return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+
+
 def decode_ids(ids: list[int], tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> str:
     """The text of a list of ids."""
-    t = load(folder, tokenizer)
-    return bytes(UNBYTES[c] for i in ids for c in (t.id_to_token(int(i)) or "")).decode("utf-8", "replace")
+    return decode_lists(np.asarray(ids, dtype=np.int64), np.array([len(ids)]), folder, tokenizer)[0]
 
 
 def decode(df: DataFrame, key: str, ids: str, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
@@ -165,10 +216,13 @@ def decode(df: DataFrame, key: str, ids: str, tokenizer: str = "byte_bpe_50k", f
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in rows:
-            texts = [None if x is None else decode_ids(x, tokenizer, folder) for x in r.column(1).to_pylist()]
+            lists = r.column(1)
+            counts = np.diff(np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))))
+            found = decode_lists(lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), counts.astype(np.int64), folder, tokenizer)
+            texts = [t if ok else None for t, ok in zip(found, lists.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([r.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
     return df.select(key, F.col(ids)).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, text string")
 
 
-__all__ = ["OTHER", "decode", "decode_ids", "encode", "encode_arrays", "piece_starts", "token_counts"]
+__all__ = ["OTHER", "decode", "decode_ids", "encode", "encode_arrays", "encode_with_offsets", "piece_starts", "token_counts"]

@@ -7,8 +7,9 @@ histogram of lengths - at most ``capacity`` numbers, whatever the corpus - it ta
 lengths that fill the container best, and repeats that pattern as often as the histogram allows. Every pattern uses up a length,
 so there are at most ``capacity`` patterns. Documents then find their container from the rank among those of their length.
 
-Ranks are counted within (length, hash of the key), so a length that a third of all documents have is spread over
-``salts`` groups.
+Ranks are counted within (length, hash of the key). A length has as many hashes as keep its groups at about ``per_group`` items, so one that a
+third of all documents have, or the full containers of texts that are cut, are spread; the driver gets a count a group, a small
+fraction of the items whatever their number.
 
 Defined results: an item longer than the capacity is cut into full containers and a rest, which is packed like any item; items
 of no length and null lengths take no space and are put into container 0; equal keys are told apart by nothing but their rank,
@@ -40,15 +41,25 @@ def _piece_sizes(size: str, capacity: int) -> Column:
     return F.concat(F.array_repeat(F.lit(capacity).cast("long"), full), F.when((rest > 0) | (n == 0), F.array(rest)).otherwise(F.array().cast("array<bigint>")))
 
 
-def harmonic(items: DataFrame, key: str, size: str, capacity: int, classes: int = 32, salts: int = 64) -> DataFrame:
+def _salted(it: DataFrame, by: str, key: str, per_group: int) -> DataFrame:
+    """``it`` with a salt: each value of ``by``, of which there are at most as many as the capacity, has one for every ``per_group`` items."""
+    salts = {int(r[by]): -(-r["n"] // per_group) for r in it.groupBy(by).agg(F.count("*").alias("n")).collect()}
+    table = F.lit([salts.get(v, 1) for v in range(max(salts, default=0) + 1)])
+    return it.withColumn("salt", F.pmod(F.xxhash64(key, "piece"), F.get(table, F.col(by).cast("int"))).cast("int"))
+
+
+def harmonic(items: DataFrame, key: str, size: str, capacity: int, classes: int = 32, per_group: int = 100_000) -> DataFrame:
     """(key, piece, size, class_no, container): plain harmonic packing of every item, or piece of an oversized one; the items below
     capacity/classes are packed by their class's largest size. Every worker fills its own containers. Items of no length (0 or null) take
     no space: class 0, all in container ``0``."""
-    it = items.select(F.col(key), F.posexplode(_piece_sizes(size, capacity)).alias("piece", size)).withColumn("salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)))
+    it = items.select(F.col(key), F.posexplode(_piece_sizes(size, capacity)).alias("piece", size))
     it = it.withColumn("class_no", F.when(F.col(size) == 0, 0).otherwise(harmonic_class(F.nullif(F.col(size), F.lit(0)), capacity, classes)))
+    it = cut_lineage(it)
+    none = it.where("class_no = 0").select(key, "piece", size, "class_no", F.lit("0").alias("container"))
     w = Window.partitionBy("class_no", "salt").orderBy(F.desc(size), key, "piece")
-    at = F.floor((F.row_number().over(w) - 1) / F.nullif(F.col("class_no"), F.lit(0)))
-    return it.select(key, "piece", size, "class_no", F.when(F.col("class_no") == 0, "0").otherwise(F.concat_ws("-", "class_no", "salt", at.cast("long"))).alias("container"))
+    at = F.floor((F.row_number().over(w) - 1) / F.col("class_no"))
+    some = _salted(it.where("class_no > 0"), "class_no", key, per_group)
+    return some.select(key, "piece", size, "class_no", F.concat_ws("-", "class_no", "salt", at.cast("long")).alias("container")).unionByName(none)
 
 
 def _pair(some: np.ndarray, have: np.ndarray, r: int) -> int:
@@ -111,17 +122,17 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
         out.append((need, times))
 
 
-def pack(items: DataFrame, key: str, size: str, capacity: int = 2048, salts: int = 64) -> DataFrame:
+def pack(items: DataFrame, key: str, size: str, capacity: int = 2048, per_group: int = 1_000_000) -> DataFrame:
     """(key, piece, n_tokens, container_id): every item, or piece of an oversized one, in its container."""
-    it = items.select(F.col(key), F.posexplode(_piece_sizes(size, capacity)).alias("piece", "n_tokens")).withColumn("salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).cast("int"))
-    it = cut_lineage(it)
-    groups = it.groupBy("n_tokens", "salt").agg(F.count("*").alias("n")).toPandas()  # at most capacity x salts rows
+    it = cut_lineage(items.select(F.col(key), F.posexplode(_piece_sizes(size, capacity)).alias("piece", "n_tokens")))
+    none = it.where("n_tokens = 0").select(key, "piece", "n_tokens", F.lit(0).cast("long").alias("container_id"))
+    it = _salted(it.where("n_tokens > 0"), "n_tokens", key, per_group)
+    groups = it.groupBy("n_tokens", "salt").agg(F.count("*").alias("n")).toPandas()  # a row a length and a row for every per_group items
     counts = np.zeros(capacity + 1, dtype=np.int64)
     np.add.at(counts, groups["n_tokens"].to_numpy(dtype=np.int64), groups["n"].to_numpy(dtype=np.int64))
-    counts[0] = 0
-    offset = np.zeros((capacity + 1, salts), dtype=np.int64)
+    offset: dict[int, np.ndarray] = {}
     for s, g in groups.groupby("n_tokens"):
-        by = np.zeros(salts, dtype=np.int64)
+        by = np.zeros(int(g["salt"].max()) + 1, dtype=np.int64)
         by[g["salt"].to_numpy()] = g["n"].to_numpy()
         offset[int(s)] = np.cumsum(by) - by
     # For each length the ranks at which its next pattern begins, that pattern's count of it and first container.
@@ -139,16 +150,15 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = 2048, salts: int
         offset, table = shared.value
         for r in rows:
             s, salt, rank = (r.column(i).to_numpy() for i in (2, 3, 4))
-            rank = rank - 1 + offset[s, salt]
             out = np.zeros(len(s), dtype=np.int64)
-            for v in np.unique(s[s > 0]):
+            for v in np.unique(s):
                 at = np.flatnonzero(s == v)
-                t = table[int(v)]
-                g = np.searchsorted(t[:, 0], rank[at], side="right") - 1
-                out[at] = t[g, 2] + (rank[at] - t[g, 0]) // t[g, 1]
+                t, mine = table[int(v)], rank[at] - 1 + offset[int(v)][salt[at]]
+                g = np.searchsorted(t[:, 0], mine, side="right") - 1
+                out[at] = t[g, 2] + (mine - t[g, 0]) // t[g, 1]
             yield pa.RecordBatch.from_arrays([r.column(0), r.column(1), r.column(2), pa.array(out)], names=[key, "piece", "n_tokens", "container_id"])
 
     w = Window.partitionBy("n_tokens", "salt").orderBy(key, "piece")
     kind = items.schema[key].dataType.simpleString()
     ranked = it.select(key, "piece", "n_tokens", "salt", F.row_number().over(w).alias("rank"))
-    return ranked.mapInArrow(place, f"`{key}` {kind}, piece int, n_tokens long, container_id long")
+    return ranked.mapInArrow(place, f"`{key}` {kind}, piece int, n_tokens long, container_id long").unionByName(none)

@@ -1,9 +1,11 @@
 """Texts over a size limit cut into pieces at natural boundaries, with an overlap.
 
-Sizes are estimated tokens: code points divided by four, rounded down. The least number of pieces gives equally spaced targets; each
-target is snapped to the strongest boundary near it (paragraph, line, sentence, clause, blank; the nearest of equals), and a piece is
-added whenever one would break the limit. A piece starts up to ``overlap`` tokens before the end of the one before, at the strongest
-boundary there but not at that end, so that each shares text with the one before if ``overlap`` is not 0. Joining the pieces without their overlaps gives the text back exactly.
+Sizes are estimated tokens: code points divided by four, rounded down. The piece count is the least with which pieces of the greatest size
+that share the whole overlap cover the text. Its pieces of equal length, overlaps included, give the targets; each target is snapped
+to the strongest boundary near it (paragraph, line, sentence, clause, blank; the nearest of equals) from which the rest can still be
+covered, and a piece is added whenever one would break the limit. A piece starts up to ``overlap`` tokens before the end of the one before, at
+the strongest boundary in the first half of that stretch, else at the nearest to its middle in the second, and where there is none it takes the whole stretch: each shares
+text with the one before if ``overlap`` is not 0. Joining the pieces without their overlaps gives the text back exactly.
 
 Only oversized texts leave the JVM; all others pass through as one piece.
 
@@ -38,22 +40,37 @@ def boundary_near(text: str, target: int, low: int, high: int) -> tuple[int, int
     return 0, min(max(target, low), high)
 
 
+def overlap_start(text: str, end: int, shared: int, after: int) -> int:
+    """Where the piece behind a cut at ``end`` starts; ``after`` the start of the piece before."""
+    low = max(end - shared, after + 1)
+    half = max(low, end - (shared + 1) // 2)
+    for first, last in ((low, half), (half, end - 1)):
+        if first <= last:
+            strength, at = boundary_near(text, first, first, last)
+            if strength:
+                return at
+    return min(low, end)
+
+
 def pieces(text: str, limit: int, overlap: int, slack: float = 0.2) -> list[tuple[int, int, int]]:
     """(start, end, strength of the boundary at the end) of each piece, in code points."""
-    most, shared = 4 * limit + 3, 4 * overlap
+    most, shared = 4 * limit + 3, min(4 * overlap, 2 * limit)
     n = len(text)
     if n <= most:
         return [(0, n, 5)]
     count = max(2, -(-(n - shared) // (most - shared)))
     while True:
+        step = (n - shared) / count  # what a piece adds to the ones before
         out, start, end = [], 0, 0
         for i in range(count):
-            target = n * (i + 1) // count
             if i == count - 1:
                 strength, end = 5, n
             else:
-                reach = int(slack * n / count)
-                low, high = max(end + 1, target - reach), min(n - 1, target + reach, start + most)
+                target = round(shared + step * (i + 1))
+                reach = int(slack * step)
+                # What is left behind the cut has to fit into the pieces left, overlaps included.
+                low = max(end + 1, target - reach, n - (count - 1 - i) * (most - shared))
+                high = min(n - 1, target + reach, start + most)
                 if low > high:
                     break
                 strength, end = boundary_near(text, target, low, high)
@@ -61,8 +78,7 @@ def pieces(text: str, limit: int, overlap: int, slack: float = 0.2) -> list[tupl
                 break
             out.append((start, end, strength))
             if i < count - 1:
-                low = max(end - shared, start + 1)
-                start = boundary_near(text, low, low, end - 1)[1] if low < end else end
+                start = overlap_start(text, end, shared, start) if shared else end
         else:
             return out
         count += 1

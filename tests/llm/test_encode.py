@@ -53,3 +53,22 @@ def test_frames(spark):
     assert sorted((r.k, r.n_tokens) for r in e.token_counts(df, "k", "text").collect()) == [(1, 2), (1, 2), (2, 0), (3, 0)]
     assert {r.k: r.text for r in e.decode(e.encode(df, "k", "text"), "k", "ids").collect()} == {1: "a b", 2: "", 3: ""}
     assert e.encode(df.limit(0), "k", "text").count() == 0
+
+
+def test_offsets_are_those_of_the_library(spark):
+    t = e.load(e.TOKENIZERS, "byte_bpe_50k")
+    texts = [x for x in TEXTS if x] + ["", "naïve — 日本 🙂🙂x"]
+    got = {r.k: r for r in e.encode_with_offsets(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), "k", "text").collect()}
+    for k, text in enumerate(texts):
+        r = got[k]
+        assert list(r.ids) == ours([text])[0] and len(r.starts) == len(r.ends) == len(r.ids)
+        for i, a, b in zip(r.ids, r.starts, r.ends):
+            shown = e.decode_ids([i])
+            assert 0 <= a < b <= len(text) and ("\ufffd" in shown or shown == text[a:b])
+        assert all(a2 in (b1, b1 - 1) for b1, a2 in zip(r.ends, r.starts[1:])) and (not text or (r.starts[0], r.ends[-1]) == (0, len(text)))
+    assert t.encode("a b", add_special_tokens=False).offsets[0] == (0, 1)
+
+
+def test_ids_beyond_the_vocabulary_show():
+    good = ours(["ab"])[0]
+    assert e.decode_ids([10**6, *good, -1]) == "\ufffdab\ufffd" and e.decode_ids([]) == ""

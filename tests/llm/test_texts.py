@@ -22,6 +22,17 @@ def test_pieces_keep_limits_and_text():
         assert text == t and (len(ps) > 1) == (len(t) // 4 > 100)
 
 
+def test_least_number_of_pieces_with_a_real_overlap():
+    r = random.Random(9)
+    for n in (4004, 7650, 7700, 7800, 7806, 7807, 11_609, 11_610, 40_000):
+        words = " ".join(r.choice(["a", "word", "longer", "sentence.", "clause,", "line\n", "paragraph.\n\n"]) for _ in range(n))[:n]
+        for t in ("x" * n, words):
+            ps = split.pieces(t, 1000, 50)
+            assert len(ps) == max(2, -(-(n - 200) // 3803))
+            shared = [a[1] - b[0] for a, b in zip(ps, ps[1:])]
+            assert all(20 <= x <= 200 for x in shared) and all(e - s <= 4003 for s, e, _ in ps)
+
+
 def test_natural_boundary_wins():
     t = "A sentence here. " * 30
     assert {x for _, _, x in split.pieces(t, 50, 5)[:-1]} == {3}
@@ -64,7 +75,7 @@ def test_pack_frame(spark):
     r = random.Random(2)
     rows = [(i, r.choice([0, None, r.randint(1, 300), 100, 100, 100, r.randint(400, 1500)])) for i in range(600)] + [(600, 100), (600, 100)]
     df = spark.createDataFrame(rows, "k long, n long")
-    got = packing.pack(df, "k", "n", 512, 4).collect()
+    got = packing.pack(df, "k", "n", 512, 40).collect()
     load, total = {}, {}
     for x in got:
         load[x.container_id] = load.get(x.container_id, 0) + x.n_tokens
