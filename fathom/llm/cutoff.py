@@ -1,8 +1,9 @@
 """Texts that were cut off: a structural check of how each text ends, against what is usual for its source.
 
-A stack automaton reads structured texts (JSON, from its first line that opens one): what is still open at the end - strings,
-escapes, brackets - was cut. In every text, an odd number of code fences, a broken multibyte sequence, an unfinished escape, entity or
-tag at the very end, and an unclosed bracket or quotation in the last line tell the same. Otherwise the last line decides: prose
+A stack automaton reads every text as a whole. Of structured texts (JSON, from its first line that opens one) whatever is still open at the
+end - strings, escapes, brackets - was cut. Of all others it follows brackets, quotations and questions of any script, elements of markup, and code
+fences; what prose opens and doesn't close by the end of its paragraph is a slip, what is open where the text ends was cut. A broken
+multibyte sequence, an unfinished escape, entity or tag at the very end tells the same. Otherwise the last line decides: prose
 has to end with a terminator; lines that stand alone (titles, bullets, keywords, table rows, signatures, addresses) have to end with
 a word such lines end with elsewhere in the corpus. A marker of omission at the end (an ellipsis, "[truncated]", "(more)") is taken off
 first; what stands before it is judged, and an explicit marker counts by itself unless the sentence before it is complete.
@@ -35,16 +36,20 @@ from fathom.session import cut_lineage
 
 # What senders put behind a cut.
 MARKER = re.compile(r"\s*(?:…|\[\s*(?:truncated|\.\.\.|…|cut|more)\s*\]|\(\s*(?:more|truncated|continued|cont\.?|\.\.\.|…)\s*\)|<\s*(?:truncated|snip|cut)\s*>|(?:read|show|see) more\s*(?:…|\.\.\.|»)?|\[?message clipped\]?)\s*$", re.I)
-BROKEN = re.compile(r"(?:�+|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|(?<!\\)\\|&#?[A-Za-z0-9]{1,8}|<(?:[/!]?[A-Za-z][^<>\n]{0,80})?|%[0-9A-Fa-f]?)$")
-END = re.compile(r"[.!?。！？‽][\"'”’»)\]*_`]*$")
+BROKEN = re.compile(r"(?:�+|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|(?<!\\)\\|&#?[A-Za-z0-9]{1,8}|<|%[0-9A-Fa-f]?)$")
+STOPS, CLOSERS = ".!?。！？‽", "\"'”’»)]*_`"
 SENTENCE = re.compile(r"[.!?。！？‽][\"'”’»)\]*_`]*\s")
 PARAGRAPHS = re.compile(r"(?:\r\n|[\r\n])[^\S\r\n]*(?:\r\n|[\r\n])")
 BULLETS = re.compile(r"(?m)^[^\S\n]*(?:[-*•+]|\d+[.)])\s+(\S.*)$")
 ITEMS = re.compile(r"(?m)^\w[\w ]{1,20}: ((?:[^,.;:\n]{1,40}, )+)[^,.;:\n]{1,40}$")
 STRUCTURE = re.compile(r"(?:\A|\n)[^\S\n]*[\[{]")
 KEY = re.compile(r'"\s*:')
-BRACKET = re.compile("[()]")
 TAIL = 160  # longer than anything the patterns of the end can match
+TOKEN = re.compile(r"```|~~~|\\.|[\"()\[\]{}“”«»„¿?]|</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>|(?:\r\n|[\r\n])[^\S\r\n]*(?:\r\n|[\r\n])", re.S)
+OPENS = {")": "(", "]": "[", "}": "{", "”": "“", "?": "¿"}
+END_TAGS = re.compile(r"(?:\s*</[A-Za-z][A-Za-z0-9]*>)+$")
+# Elements of markup that have to be closed.
+ELEMENTS = set("a abbr article aside b blockquote body button code div em figure footer form h1 h2 h3 h4 h5 h6 head header html i label main nav ol pre script section select small span strong style sub sup table tbody textarea thead title u ul".split())
 PAIRS = {")": "(", "]": "[", "}": "{"}
 STANDING = [
     ("signature", re.compile(r"[—–-]{1,2}\s?\w[\w .]{0,30}\s\d+$")),
@@ -91,13 +96,59 @@ def open_structure(text: str) -> bool | None:
                 stack.pop()
 
 
-def unclosed(line: str) -> bool:
-    """A bracket or a double quotation mark that a line opens and doesn't close."""
-    depth = 0
-    if "(" in line:
-        for c in BRACKET.findall(line):
-            depth = depth + 1 if c == "(" else max(0, depth - 1)
-    return depth > 0 or line.count("“") > line.count("”") or line.count("«") > line.count("»")
+def ends_sentence(line: str) -> bool:
+    """Whether a line ends with a terminator, behind which only quotes, brackets and marks may close."""
+    return line.rstrip(CLOSERS)[-1:] in STOPS and line.rstrip(CLOSERS) != ""
+
+
+def unclosed(text: str) -> set[str]:
+    """What a text opens and doesn't close: 'bracket' (or quotation, or question), 'markup', 'fence'."""
+    stack: list[str] = []
+
+    def close(opener: str) -> bool:
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i] == opener:
+                del stack[i:]
+                return True
+        return False
+
+    fence, quotes = "", 0
+    for m in TOKEN.finditer(text):
+        c, i = m[0], m.start()
+        if c in ("```", "~~~"):
+            if text[text.rfind("\n", 0, i) + 1 : i].strip() == "":
+                fence = "" if fence == c else fence or c
+        elif fence or c[0] == "\\":
+            continue
+        elif c[0] in "\r\n":
+            stack[:] = [x for x in stack if len(x) > 1]  # slips of prose
+        elif c[0] == "<":
+            name = re.match(r"</?([A-Za-z0-9]+)", c)[1].lower()
+            if name in ELEMENTS and not c.endswith("/>"):
+                close(f"<{name}>") if c[1] == "/" else stack.append(f"<{name}>")
+        elif c in OPENS:
+            close(OPENS[c])
+        elif c == '"':
+            inch = text[i - 1 : i].isdigit() and not text[i + 1 : i + 2].isalnum()
+            if not close(c):
+                stack += [] if inch else [c]
+            quotes += c in stack or not inch
+        elif c == "“":
+            close("„") or stack.append(c)
+        elif c in "«»":  # either may open
+            other = "»" if c == "«" else "«"
+            if not close(other) and (c == "«" or text[i + 1 : i + 2].isalnum() and not text[i - 1 : i].strip()):
+                stack.append(c)
+        elif not (c == "(" and text[i - 1 : i] in (":", ";")):
+            stack.append(c)
+    if quotes % 2 == 0:  # straight quotation marks close each other over paragraphs, too
+        close('"')
+    return {"markup" if len(x) > 1 else "bracket" for x in stack} | ({"fence"} if fence else set())
+
+
+def unfinished_tag(text: str) -> bool:
+    i = text.rfind("<")
+    return i >= 0 and bool(re.match(r"<[/!]?[A-Za-z][^<>\n]*$", text[i:]))
 
 
 def last_line(text: str) -> tuple[str, bool]:
@@ -141,21 +192,21 @@ def look(text: str) -> tuple[list[str], str | None, list[str]]:
     reasons = []
     if m := BROKEN.search(t[-TAIL:]):
         reasons.append("broken")
-        t = t[: len(t) - len(m[0])]
+        t = t[: len(t) - len(m[0])].rstrip("�")
+    elif unfinished_tag(t):
+        reasons.append("broken")
+        t = t[: t.rfind("<")]
     m = MARKER.search(t[-TAIL:])
     if m and len(m[0]) < len(t):
         t = t[: len(t) - len(m[0])]
-        if not END.search(t[-TAIL:].rstrip()):
+        if not ends_sentence(t.rstrip()):
             reasons.append("marker")
     is_open = open_structure(t)
     if is_open is not None:
         return reasons + (["structure"] if is_open else []), None, []
-    line, alone = last_line(t)
-    if "```" in t and sum(1 for x in re.split(r"\r\n|[\r\n]", t) if x.lstrip().startswith("```")) % 2:
-        reasons.append("fence")
-    if unclosed(line):
-        reasons.append("bracket")
-    if END.search(line[-TAIL:]):
+    reasons += sorted(unclosed(t))
+    line, alone = last_line(END_TAGS.sub("", t) if t.endswith(">") else t)
+    if ends_sentence(line):
         return reasons, None, []
     kind = standing_kind(line, alone)
     if kind is None:
@@ -167,7 +218,7 @@ def sets_terminators(text: str) -> bool:
     """Whether a text with an open end sets terminators before it, where no cut could remove them."""
     *inner, last = [p for p in PARAGRAPHS.split(text) if p.strip()] or [""]
     ends = [last_line(p)[0] for p in inner]
-    prose = [bool(END.search(e[-TAIL:])) for e in ends if END.search(e[-TAIL:]) or standing_kind(e, True) is None]
+    prose = [ends_sentence(e) for e in ends if ends_sentence(e) or standing_kind(e, True) is None]
     return 2 * sum(prose) > len(prose) if prose else bool(SENTENCE.search(last))
 
 
@@ -176,7 +227,7 @@ def inner_ends(text: str) -> list[tuple[str, str]]:
     last item of keyword lines."""
     out = [("title", w) for h in re.findall(r"(?m)^#{1,6}\s+(\S.*?)\s*$", text) for w in end_words(h, "heading")] if "#" in text else []
     body = text[: text.rstrip().rfind("\n") + 1]
-    out += [("bullet", w) for b in BULLETS.findall(body) if not END.search(b[-TAIL:]) for w in end_words(b, "bullet")]
+    out += [("bullet", w) for b in BULLETS.findall(body) if not ends_sentence(b) for w in end_words(b, "bullet")]
     if ", " in text:
         out += [("keywords", w) for line in ITEMS.findall(text) for item in line.split(", ") for w in end_words(item, "keywords")]
     return out

@@ -133,6 +133,9 @@ def test_page_lines(line, is_page):
         ('{"a": [1, 2, {"b": "x"}]}', False), ('{"a": [1, 2, {"b": "x', True), ('{"a": [1, 2], "b": "}"', True), ("def f():\n    pass\n[\n {\n  \"a\": 1\n }\n]", False),
         ("Done.\n\n```\nx = 1\n```", False), ("Done.\n\n```\nx = 1", True), ("Done.\n\n| a | b | c |", False), ("Done.\n\n— Desk 7", False), ("Done.\n\nKeywords: one, two, three", False),
         ("Done.\n\nhttps://host.example/a/b", False), ("Done (see there", True), ("ok", False), ("", False), ("  \n", False), ("🙂", False), ('He said "yes."', False),
+        ("An [open bracket here.", True), ("<div><p>Some text.", True), ("<div><p>Some text.</div>", False), ('He said "hello there.', True), ("(see the\nnext line.", True), ("He said “hello. There.", True),
+        ("A (slip here.\n\nThe next paragraph is whole.", False), ("a) one, b) two.", False), ('A 5" disk and a 3.5" one.', False), ("„Ja“, sagte er.", False), ("»Ja«, sagte er.", False), ("« Oui », dit-il.", False), ("¿Qué hace el modelo.", True),
+        ("¿Qué hace? Nada.", False), ("Sad :( but whole.", False), ("A List<String> is fine.", False), ("A <br/> line.", False), ("See <a href='" + "x" * 300, True), ("Is {open.", True), ("Whole." + ")" * 300, False), ("A broken end" + "�" * 400, True), ("See ```code``` there.", False),
     ],
 )
 def test_look(text, cut):
