@@ -1,8 +1,18 @@
-"""Exact duplicates by normalised hash, fingerprints, and duplicates of slides and pages by words."""
+"""Exact duplicates by normalised hash, near duplicates by character n-grams, fingerprints, and duplicates of slides and pages by words.
+
+Near duplicates come by two ways: ``near_texts`` finds all pairs of a similarity, exactly; ``lsh_pairs`` finds most of them from bands of
+MinHash signatures, as a search engine's filter would. Both compare sets of n-grams once, however many texts have them, and give membership
+beside the pairs. Defined results: a null text has the n-grams of an empty one; texts of equal sets are near each other at every limit.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.text import char_shingles, content_hash, content_words, hash_normal, jaccard, once
@@ -33,9 +43,112 @@ def dedup_stats(marked: DataFrame) -> DataFrame:
     return marked.agg(n.alias("total"), (n - d).alias("unique"), d.alias("removed"), F.round(F.coalesce(F.try_divide(100.0 * d, n), F.lit(0.0)), 4).alias("removal_pct"))
 
 
-def minhash(shingles: Column, seeds: int = 16) -> Column:
-    """The least hash of a set under each of ``seeds`` hash functions; an empty set gives nulls."""
-    return once(shingles, lambda sh: F.transform(F.sequence(F.lit(0), F.lit(seeds - 1)), lambda s: F.array_min(F.transform(sh, lambda x: F.xxhash64(x, s)))))
+PERMS = 128
+WORDS = 16  # of a fingerprint, of eight hexadecimal digits each
+
+
+@cache
+def _permutations(perms: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and offsets of ``perms`` hash functions, the same on every machine."""
+    r = np.random.default_rng(20_011)
+    return r.integers(1, 1 << 63, perms, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, perms, dtype=np.uint64)
+
+
+def minhash_arrays(hashes: np.ndarray, counts: np.ndarray, perms: int = PERMS) -> np.ndarray:
+    """Signatures (sets x perms, 32 bits) of sets of 64-bit hashes given in a row; those of empty sets are all ones."""
+    out = np.full((len(counts), perms), 0xFFFFFFFF, dtype=np.uint32)
+    full = np.flatnonzero(counts)
+    if len(full):
+        first = (np.cumsum(counts) - counts)[full]
+        factor, offset = _permutations(perms)
+        for i in range(perms):
+            out[full, i] = np.minimum.reduceat(((hashes * factor[i] + offset[i]) >> np.uint64(32)).astype(np.uint32), first)
+    return out
+
+
+def gram_sets(df: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
+    """(k, s): the sorted distinct hashes of each text's character n-grams."""
+    hashes = lambda g: F.array_sort(F.array_distinct(F.transform(g, lambda x: F.xxhash64(x))))
+    return df.select(F.col(key).alias("k"), once(char_shingles(F.col(text), n), hashes).alias("s"))
+
+
+def minhash(df: DataFrame, key: str, text: str, n: int = 3, perms: int = PERMS) -> DataFrame:
+    """(key, signature array<bigint>, fingerprint): the least hash under each permutation, and the first ``WORDS`` of them in hexadecimal."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows:
+            sets = r.column(1)
+            sig = minhash_arrays(sets.flatten().to_numpy().view(np.uint64), sets.value_lengths().to_numpy().astype(np.int64), perms)
+            at = pa.array(np.arange(len(sig) + 1, dtype=np.int32) * perms)
+            prints = ["".join(f"{x:08x}" for x in row) for row in sig[:, :WORDS].tolist()]
+            yield pa.RecordBatch.from_arrays([r.column(0), pa.ListArray.from_arrays(at, pa.array(sig.ravel().astype(np.int64))), pa.array(prints, pa.string())], names=[key, "signature", "fingerprint"])
+
+    return gram_sets(df, key, text, n).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, signature array<bigint>, fingerprint string")
+
+
+def signature_similarity(a: Column, b: Column) -> Column:
+    """Share of equal places of two signatures: an estimate of the sets' Jaccard similarity."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.size(a)
+
+
+def lsh_bands(limit: float, perms: int = PERMS) -> tuple[int, int]:
+    """(bands, rows) with the least sum of false positives and false negatives, weighted alike, at a similarity limit."""
+    x = (np.arange(1000) + 0.5) / 1000
+
+    def wrong(b: int, r: int) -> float:
+        hit = 1 - (1 - x**r) ** b
+        return float(hit[x < limit].sum() + (1 - hit)[x >= limit].sum())
+
+    return min(((b, r) for b in range(1, perms + 1) for r in range(1, perms // b + 1)), key=lambda br: (wrong(*br), br))
+
+
+def _sets(df: DataFrame, key: str, text: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """(k, rep) of every text, ``rep`` the smallest key of its set, and the sets (k, s, n) of those."""
+    all_sets = cut_lineage(gram_sets(df, key, text, n))
+    h = all_sets.select("k", F.xxhash64("s").alias("h1"), F.hash("s").alias("h2"), F.size("s").alias("n"))
+    least = h.groupBy("h1", "h2", "n").agg(F.min("k").alias("rep"))
+    members = cut_lineage(h.join(least, ["h1", "h2", "n"]).select("k", "rep"))
+    reps = members.where("k = rep").select("k").distinct()
+    return members, cut_lineage(all_sets.join(reps, "k", "left_semi").dropDuplicates(["k"]).select("k", "s", F.size("s").alias("n")))
+
+
+def _verified(cand: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
+    sa, sb = sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), sets.select(F.col("k").alias("b"), F.col("s").alias("sb"))
+
+    @F.pandas_udf("double")
+    def similarity(a, b):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        def one(x, y) -> float:  # noqa: ANN001
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return both / max(1, len(x) + len(y) - both)
+
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
+
+    return cand.join(sa, "a").join(sb, "b").select("a", "b", similarity("sa", "sb").alias("similarity")).where(F.col("similarity") >= limit - 1e-12)
+
+
+def lsh_pairs(df: DataFrame, key: str, text: str, limit: float = 0.92, n: int = 3) -> tuple[DataFrame, DataFrame]:
+    """``members`` (k, rep) and ``pairs`` (a, b, similarity) of sets that share a band of their signatures and are as similar as ``limit``. In a band's
+    bucket each meets those before it in a chain of equal signatures only once, as equal sets are one."""
+    members, sets = _sets(df, key, text, n)
+    bands, rows = lsh_bands(limit)
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in batches:
+            s = r.column(1)
+            sig = minhash_arrays(s.flatten().to_numpy().view(np.uint64), s.value_lengths().to_numpy().astype(np.int64), bands * rows).astype(np.uint64)
+            h = np.zeros((len(sig), bands), dtype=np.uint64)
+            for i in range(rows):
+                h = (h ^ sig[:, i::rows]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            at = np.repeat(np.arange(len(sig)), bands)
+            yield pa.RecordBatch.from_arrays([r.column(0).take(pa.array(at)), r.column(2).take(pa.array(at)), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(sig))), pa.array(h.ravel().view(np.int64))], names=["k", "n", "band", "h"])
+
+    e = sets.mapInArrow(hashes, f"k {df.schema[key].dataType.simpleString()}, n int, band int, h bigint")
+    a, b = e.withColumnsRenamed({"k": "a", "n": "na"}), e.withColumnsRenamed({"k": "b", "n": "nb"})
+    near = (F.col("a") < F.col("b")) & (F.col("na") >= limit * F.col("nb")) & (F.col("nb") >= limit * F.col("na"))
+    return members, _verified(a.join(b, ["band", "h"]).where(near).select("a", "b").distinct(), sets, limit)
 
 
 def fingerprint_similarity(a: Column, b: Column) -> Column:
@@ -46,34 +159,71 @@ def fingerprint_similarity(a: Column, b: Column) -> Column:
 
 
 def word_duplicates(pages: DataFrame, slides: DataFrame, on: list[str], text: str, limit: float = 0.85) -> DataFrame:
-    """Pages with the word similarity to their slide; a page without a slide has similarity 0 and is unique."""
-    s = slides.select(*on, F.col(text).alias("_slide"))
-    sim = F.when(F.col("_slide").isNull(), 0.0).otherwise(jaccard(content_words(F.coalesce(F.col(text), F.lit(""))), content_words(F.coalesce(F.col("_slide"), F.lit("")))))
-    return pages.join(s, on, "left").withColumn("similarity", sim).withColumn("is_duplicate", F.col("similarity") >= limit).drop("_slide")
+    """Pages with the word similarity to their slide; a page without a slide has similarity 0 and is unique. Only hashes of the distinct words
+    meet in the join, with the columns of ``pages`` other than the text."""
+    words = lambda: F.transform(content_words(F.coalesce(F.col(text), F.lit(""))), lambda w: F.xxhash64(w))
+    s = slides.select(*on, words().alias("_slide"))
+    p = pages.withColumn("_page", words()).drop(text)
+    sim = F.when(F.col("_slide").isNull(), 0.0).otherwise(jaccard(F.col("_page"), F.col("_slide")))
+    return p.join(s, on, "left").withColumn("similarity", sim).withColumn("is_duplicate", F.col("similarity") >= limit).drop("_slide", "_page")
 
 
-def near_texts(df: DataFrame, key: str, text: str, limit: float = 0.92, n: int = 3) -> DataFrame:
-    """(a, b, similarity) of distinct texts whose character n-gram sets have at least Jaccard similarity ``limit``.
+def near_texts(df: DataFrame, key: str, text: str, limit: float = 0.92, n: int = 3, most_sent: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
+    """``members`` (k, rep) of every text, ``rep`` being the smallest key of those with the same n-grams, and ``pairs`` (a, b, similarity): all
+    pairs of such sets of at least Jaccard similarity ``limit``.
 
     Sets of similarity t share one of their first s - ceil(t s) + 1 hashes in any common order - here the rarest in the corpus first - so
     the texts meet in buckets of those; sizes that rule the similarity out are filtered in the join, pairs are made distinct and verified on the
-    sets. Copies are represented by their smallest key. AQE splits the join's skewed buckets.
+    sets. The order is broadcast while there are at most ``most_sent`` different n-grams; beyond, the hashes themselves are the order, which is as
+    exact. AQE splits the join's skewed buckets.
     """
-    reps = exact_duplicates(df, key, text).where(~F.col("is_duplicate")).select(key)
-    sets = df.join(reps, key, "left_semi").select(F.col(key).alias("k"), once(char_shingles(F.col(text), n), lambda s: F.array_sort(F.array_distinct(F.transform(s, lambda x: F.xxhash64(x))))).alias("s"))
-    sets = sets.withColumn("n", F.size("s"))
-    each = sets.select("k", "n", F.explode("s").alias("h"))
-    often = each.groupBy("h").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("k").orderBy("df", "h"))  # one text's set
-    ranked = each.join(often, "h").withColumn("r", rank)
-    e = ranked.where(F.col("r") <= F.col("n") - F.ceil(limit * F.col("n") - 1e-9) + 1).select("k", "n", "h")
-    a, b = e.select(F.col("k").alias("a"), F.col("n").alias("na"), "h"), e.select(F.col("k").alias("b"), F.col("n").alias("nb"), "h")
+    members, sets = _sets(df, key, text, n)
+    often = cut_lineage(sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("df")))
+    known = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    if often.count() <= most_sent:
+        got = often.toPandas().sort_values("h")
+        known = got["h"].to_numpy(), got["df"].to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast(known)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hs, dfs = shared.value
+        for r in batches:
+            h, size = r.column(1).flatten().to_numpy(), r.column(2).to_numpy().astype(np.int64)
+            doc = np.repeat(np.arange(len(size)), size)
+            rank = dfs[np.searchsorted(hs, h)] if len(hs) else np.zeros(len(h), dtype=np.int64)
+            o = np.lexsort((h, rank, doc))
+            take = size - np.ceil(limit * size - 1e-9).astype(np.int64) + 1
+            keep = np.arange(len(o)) - (np.cumsum(size) - size)[doc] < take[doc]  # doc is sorted
+            at = pa.array(doc[keep])
+            yield pa.RecordBatch.from_arrays([r.column(0).take(at), r.column(2).take(at), pa.array(h[o][keep])], names=["k", "n", "h"])
+
+    e = sets.mapInArrow(prefixes, f"k {df.schema[key].dataType.simpleString()}, n int, h bigint")
+    a, b = e.withColumnsRenamed({"k": "a", "n": "na"}), e.withColumnsRenamed({"k": "b", "n": "nb"})
     near = (F.col("a") < F.col("b")) & (F.col("na") >= limit * F.col("nb")) & (F.col("nb") >= limit * F.col("na"))
-    cand = a.join(b, "h").where(near).select("a", "b").distinct()
-    sa, sb = sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), sets.select(F.col("k").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    sim = both / (F.size("sa") + F.size("sb") - both)
-    return cand.join(sa, "a").join(sb, "b").select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= limit)
+    return members, _verified(a.join(b, "h").where(near).select("a", "b").distinct(), sets, limit)
+
+
+def two_stages(df: DataFrame, key: str, text: str, exact: bool = True, near: bool = True, limit: float = 0.92) -> DataFrame:
+    """(key, stage, canonical): every text as 'unique', 'exact' duplicate or 'near' duplicate of what is left after that, with the smallest
+    key it repeats. Either stage may be off; of repeated keys the first counts for all."""
+    k = F.col(key).alias("k")
+    marked = exact_duplicates(df, key, text).select(k, "canonical", "is_duplicate") if exact else df.select(k, F.col(key).alias("canonical"), F.lit(False).alias("is_duplicate"))
+    if not near:
+        return marked.select(F.col("k").alias(key), F.when(F.col("is_duplicate"), "exact").otherwise("unique").alias("stage"), "canonical")
+    marked = cut_lineage(marked)
+    left = df.join(marked.where("not is_duplicate").select(F.col("k").alias(key)).distinct(), key, "left_semi")
+    members, pairs = near_texts(left, key, text, limit)
+    rep = members.where("k <> rep").select("k", F.col("rep").alias("c"))
+    others = members.select("k", "rep").join(pairs.select(F.col("b").alias("rep"), F.col("a").alias("c")), "rep").select("k", "c")
+    first = rep.union(others).groupBy("k").agg(F.min("c").alias("first"))
+    stage = F.when(F.col("is_duplicate"), "exact").when(F.col("first").isNotNull(), "near").otherwise("unique")
+    return marked.join(first, "k", "left").select(F.col("k").alias(key), stage.alias("stage"), F.when(F.col("is_duplicate"), F.col("canonical")).otherwise(F.coalesce("first", "canonical")).alias("canonical"))
+
+
+def stage_stats(stages: DataFrame) -> DataFrame:
+    """(total, exact_removed, near_removed, kept, removal_pct) of ``two_stages``."""
+    n, e, m = F.count("*"), F.count_if(F.col("stage") == "exact"), F.count_if(F.col("stage") == "near")
+    return stages.agg(n.alias("total"), e.alias("exact_removed"), m.alias("near_removed"), (n - e - m).alias("kept"), F.round(F.coalesce(F.try_divide(100.0 * (e + m), n), F.lit(0.0)), 4).alias("removal_pct"))
 
 
-__all__ = ["content_hash", "dedup_stats", "exact_duplicates", "fingerprint_similarity", "hash_normal", "hashed", "minhash", "near_texts", "unseen", "word_duplicates"]
+__all__ = ["content_hash", "dedup_stats", "exact_duplicates", "fingerprint_similarity", "hash_normal", "hashed", "lsh_bands", "lsh_pairs", "minhash", "near_texts", "signature_similarity", "stage_stats", "two_stages", "unseen", "word_duplicates"]

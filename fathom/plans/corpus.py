@@ -71,17 +71,62 @@ def d04_shingle_count(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(tx.char_shingles(F.col("text"))).alias("n_shingles"))
 
 
-@query()
+@query("select doc_id, 128::bigint as n_values, 128::bigint as n_digits, true as same_start from documents")
 def d05_minhash(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", dedup.minhash(tx.char_shingles(F.col("text"))).alias("minhash"))
+    m = dedup.minhash(table(spark, d, "documents"), "doc_id", "text")
+    first = F.conv(F.left("fingerprint", F.lit(8)), 16, 10).cast("bigint")
+    return m.select("doc_id", F.size("signature").cast("long").alias("n_values"), F.length("fingerprint").cast("long").alias("n_digits"), (first == F.col("signature")[0]).alias("same_start"))
+
+
+GRAMS = r"""with t as (select result_id, trim(regexp_replace(lower(coalesce(text, '')), '[\s\p{Z}]+', ' ', 'g'), ' ') as t from search_chunks),
+s as (select result_id, case when length(t) < 3 then [t] else list_sort(list_distinct(list_transform(generate_series(1, length(t) - 2), lambda i: substring(t, i::bigint, 3)))) end as s from t),
+r as (select min(result_id) as k, s, len(s) as n from s group by s), x as (select a.k as a, b.k as b, a.n as na, b.n as nb, len(list_intersect(a.s, b.s)) as x from r a join r b on a.k < b.k and a.n >= 0.92 * b.n and b.n >= 0.92 * a.n),
+p as (select a, b, x / (na + nb - x) as similarity from x where x / (na + nb - x) >= 0.92 - 1e-12) """
+
+
+@query(GRAMS + "select a, b, round(similarity, 6) as similarity from p")
+def d06_near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.near_texts(table(spark, d, "search_chunks"), "result_id", "text", 0.92)[1].select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query(GRAMS + "select s.result_id, r.k as representative from s join r using (s)")
+def d06_membership(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.near_texts(table(spark, d, "search_chunks"), "result_id", "text", 0.92)[0].select(F.col("k").alias("result_id"), F.col("rep").alias("representative"))
+
+
+@query("select * from (values (0.5, 25, 5), (0.7, 14, 9), (0.8, 9, 13), (0.85, 8, 16), (0.9, 5, 25), (0.92, 4, 29)) t(similarity, bands, rows_per_band)")
+def d07_lsh_bands(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(x, *dedup.lsh_bands(x)) for x in (0.5, 0.7, 0.8, 0.85, 0.9, 0.92)], "similarity double, bands int, rows_per_band int")
+
+
+@query()
+def j10_lsh_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.lsh_pairs(table(spark, d, "search_chunks"), "result_id", "text", 0.92)[1].select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+TWO_STAGES = GRAMS.replace("from search_chunks)", "from kept)").replace("with t as", f"""with h as (select result_id, text, sha256({normal('text')}) as h from search_chunks), e as (select result_id, text, min(result_id) over (partition by h) as canonical from h),
+kept as (select result_id, text from e where result_id = canonical), t as""") + """, n as (select k, min(c) as c from (select s.result_id as k, r.k as c from s join r using (s) where s.result_id <> r.k union all select s.result_id, p.a from s join r using (s) join p on p.b = r.k) group by 1),
+z as (select e.result_id, case when e.result_id <> e.canonical then 'exact' when n.k is not null then 'near' else 'unique' end as stage, case when e.result_id <> e.canonical then e.canonical else coalesce(n.c, e.canonical) end as canonical from e left join n on n.k = e.result_id) """
+
+
+@query(TWO_STAGES + "select * from z")
+def d08_two_stages(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.two_stages(table(spark, d, "search_chunks"), "result_id", "text").select("result_id", "stage", "canonical")
+
+
+@query(TWO_STAGES + """select count(*) as total, count(*) filter (stage = 'exact') as exact_removed, count(*) filter (stage = 'near') as near_removed, count(*) filter (stage = 'unique') as kept,
+round(100.0 * count(*) filter (stage <> 'unique') / count(*), 4) as removal_pct from z""")
+def d08_stage_stats(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.stage_stats(dedup.two_stages(table(spark, d, "search_chunks"), "result_id", "text"))
 
 
-@query("""with p as (select result_id, content_hash as a, lag(content_hash) over (partition by document_id order by result_id) as b from search_chunks where content_hash is not null),
+@query("""with p as (select result_id, semantic_fingerprint as a, lag(semantic_fingerprint) over (partition by document_id order by result_id) as b from search_chunks where semantic_fingerprint is not null),
 c as (select *, least(length(a), length(b)) as n from p where b is not null)
 select result_id, round(list_sum(list_transform(generate_series(1, n), lambda i: (a[i] = b[i])::int)) / n, 6) as similarity from c where n > 0""")
 def d09_fingerprint_similarity(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("document_id").orderBy("result_id")
-    p = table(spark, d, "search_chunks").where("content_hash is not null").select("result_id", F.col("content_hash").alias("a"), F.lag("content_hash").over(w).alias("b")).where("b is not null")
+    print_ = F.col("semantic_fingerprint")
+    p = table(spark, d, "search_chunks").where(print_.isNotNull()).select("result_id", print_.alias("a"), F.lag(print_).over(w).alias("b")).where("b is not null")
     return p.select("result_id", F.round(dedup.fingerprint_similarity(F.col("a"), F.col("b")), 6).alias("similarity")).where("similarity is not null")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import text as tx
-from fathom.operators import chunking, citations, dedup, frames, linked, screener, search
+from fathom.operators import chunking, citations, frames, linked, screener, search
 from fathom.session import table
 from fathom.sources import html, structured
 
@@ -203,11 +203,6 @@ def v11_index_counts(spark: SparkSession, d: str) -> DataFrame:
     return frames.union_tagged({"chunk": c.where("text is not null").select("document_id"), "page": page, "slide": slide}, "kind").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query()
-def d06_near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.near_texts(table(spark, d, "documents"), "doc_id", "text", 0.92)
-
-
 @query("""with e as (select distinct unnest(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+'), lambda w: length(w) > 2)) as w, source from documents where source is not null)
 select a.source as a, b.source as b, count(*) as shared from e a join e b on a.w = b.w and a.source < b.source group by 1, 2""")
 def u02_shared_words(spark: SparkSession, d: str) -> DataFrame:
