@@ -12,15 +12,6 @@ def epoch(c: Column) -> Column:
     return F.when(v > 1e12, F.timestamp_millis(v.cast("long"))).when(v > 1e9, F.timestamp_seconds(v.cast("long")))
 
 
-def any_date(c: Column) -> Column:
-    """An instant from epoch digits or an ISO text."""
-    return F.coalesce(F.when(c.rlike(r"^\d{10,13}(\.\d+)?$"), epoch(c)), F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), c.try_cast("timestamp")))
-
-
 def month_year(month: Column, year: Column) -> Column:
     """The first day of an English month name and a year."""
     return F.try_to_timestamp(F.concat_ws(" ", F.initcap(F.trim(month)), year.cast("string")), F.lit("MMMM yyyy")).cast("date")
-
-
-def looks_like_dates(c: Column) -> Column:
-    return F.coalesce(c.rlike(r"^\d{4}-\d{2}-\d{2}") | c.rlike(r"^\d{1,2}/\d{1,2}/\d{2,4}") | c.rlike(r"^\d{10,13}$"), F.lit(False))

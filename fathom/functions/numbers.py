@@ -78,21 +78,35 @@ def split_value(c: Column) -> tuple[Column, Column]:
     return n, F.when(n.isNull(), c)
 
 
+def converted(c: Column) -> tuple[Column, Column]:
+    """A cell as (number, text) where only the suffixes B, M and K, separators, dollar and percent signs are read; other cells stay text."""
+    bare = F.trim(F.regexp_replace(c, "[,$%]", ""))
+    n = F.when(F.upper(F.right(bare, F.lit(1))) == "T", F.lit(None).cast("double")).otherwise(number(bare))
+    return n, F.when(n.isNull(), c)
+
+
+def is_numeric_cell(c: Column) -> Column:
+    """Whether a cell of a delimited file is a number, thousands separators apart."""
+    return F.coalesce(guarded_double(F.trim(F.regexp_replace(c, ",", ""))).isNotNull(), F.lit(False))
+
+
 def in_millions(c: Column) -> Column:
     """Values of a million and more as 'X.XXM', others as they are with two decimals."""
     return F.when(F.abs(c) >= 1e6, F.format_string("%.2fM", c / 1e6)).otherwise(F.format_string("%.2f", c))
 
 
+# Parts of a column's name that tell how its values are written, in the order in which they are looked for.
+ROLES = [
+    ("price", ("price", "close", "open", "high", "low", "bid", "ask")),
+    ("percent", ("percent", "pct", "change", "%")),
+    ("volume", ("volume", "market_cap", "supply")),
+    ("ticker", ("ticker", "symbol")),
+]
+
+
 def column_role(name: str) -> str:
-    """How a column of this name is normalised: price, percent, volume, ticker or number, tested in this order."""
-    n = name.lower()
-    roles = [
-        ("price", ("price", "close", "open", "high", "low")),
-        ("percent", ("percent", "pct", "change", "%")),
-        ("volume", ("volume", "market_cap", "supply")),
-        ("ticker", ("ticker", "symbol")),
-    ]
-    return next((role for role, words in roles if any(w in n for w in words)), "number")
+    """How a column of this name is normalised: price, percent, volume, ticker or number."""
+    return next((role for role, words in ROLES if any(w in name.lower() for w in words)), "number")
 
 
 NORMALISERS = {"price": price, "percent": percentage, "volume": number, "ticker": ticker, "number": number}

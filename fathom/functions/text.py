@@ -85,6 +85,17 @@ def strip_html(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("<")) & F.contains(c, F.lit(">")), t).otherwise(c)
 
 
+def printable(c: Column) -> Column:
+    """White space collapsed, signs that can't be shown dropped, trimmed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, BLANK, " "), r"\p{C}", ""))
+
+
+def clean_name(c: Column) -> Column:
+    """A header or tag as a column name: ASCII letters and digits in lower case, other signs to single underscores; 'column' if nothing is left."""
+    t = F.regexp_replace(F.lower(F.regexp_replace(F.trim(c), "[^0-9a-zA-Z_]+", "_")), "_+", "_")
+    return F.coalesce(F.nullif(F.trim(t, F.lit("_")), F.lit("")), F.lit("column"))
+
+
 def column_name(raw: str) -> str:
     """A header as a column name: lower case, other signs to single underscores."""
     return re.sub(r"_+", "_", re.sub(r"[^0-9a-zA-Z_]", "_", raw.strip())).strip("_").lower() or "column"

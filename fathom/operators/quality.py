@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.session import cut_lineage
+
 
 def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, n, n_null, null_pct, lo, hi, mean, std, n_negative) of numeric columns in one pass."""
@@ -46,17 +48,36 @@ def date_range(df: DataFrame, date: str, now: str, first: str = "2000-01-01") ->
     )
 
 
+def exact_quartiles(df: DataFrame, columns: list[str]) -> list[tuple[float | None, float | None]]:
+    """The interpolated quartiles of each column. A bounded sketch brackets them, one pass counts what lies below the brackets, and only the values
+    inside - a small share of the table - are ranked exactly. What reaches the driver is one row a pass."""
+    v = [F.col(f"`{c}`").cast("double") for c in columns]
+    v = [F.when(~F.isnan(x), x) for x in v]
+    sketch = F.lit(10_000)
+    near = df.agg(*[F.percentile_approx(x, F.array(*[F.lit(p) for p in (0.2495, 0.2505, 0.7495, 0.7505)]), sketch).alias(f"p{i}") for i, x in enumerate(v)]).first()
+    brackets = [[(p[0], p[1]), (p[2], p[3])] if (p := near[f"p{i}"]) else None for i in range(len(columns))]
+    used = [(i, k, lo, hi) for i, bs in enumerate(brackets) if bs for k, (lo, hi) in enumerate(bs)]
+    if not used:
+        return [(None, None)] * len(columns)
+    counts = df.agg(*[a for i, k, lo, hi in used for a in (F.count(v[i]).alias(f"n{i}{k}"), F.count_if(v[i] < lo).alias(f"b{i}{k}"), F.count_if((v[i] >= lo) & (v[i] <= hi)).alias(f"m{i}{k}"))]).first()
+    exact = []
+    for i, k, lo, hi in used:
+        place = (0.25, 0.75)[k] * (counts[f"n{i}{k}"] - 1) - counts[f"b{i}{k}"]
+        inside = max(counts[f"m{i}{k}"] - 1, 1)
+        exact.append(F.percentile(F.when((v[i] >= lo) & (v[i] <= hi), v[i]), F.lit(min(1.0, max(0.0, place / inside)))).alias(f"q{i}{k}"))
+    got = df.agg(*exact).first()
+    return [(got[f"q{i}0"], got[f"q{i}1"]) if bs else (None, None) for i, bs in enumerate(brackets)]
+
+
 def iqr_outliers(df: DataFrame, columns: list[str], k: float = 3.0, least: int = 10) -> DataFrame:
-    """(column, n, lower, upper, n_outliers, pct): values beyond k interquartile ranges. Two passes over all columns."""
-    q = df.agg(*[F.percentile(F.col(f"`{c}`"), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(columns)])
-    j = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).crossJoin(F.broadcast(q))  # q is one row
+    """(column, n, lower, upper, n_outliers, pct): values beyond k interquartile ranges."""
     aggs = []
-    for i, c in enumerate(columns):
-        lo, hi = F.col(f"q{i}")[0], F.col(f"q{i}")[1]
-        lower, upper = lo - k * (hi - lo), hi + k * (hi - lo)
-        v = F.col(f"c{i}")
-        aggs.append(F.struct(F.lit(c).alias("column"), F.count(v).alias("n"), F.first(lower).alias("lower"), F.first(upper).alias("upper"), F.count_if((v < lower) | (v > upper)).alias("n_outliers")).alias(f"s{i}"))
-    out = j.agg(*aggs).select(F.explode(F.array(*[f"s{i}" for i in range(len(columns))])).alias("s")).select("s.*").where(F.col("n") >= least)
+    for i, (c, (lo, hi)) in enumerate(zip(columns, exact_quartiles(df, columns))):
+        v = F.col(f"`{c}`").cast("double")
+        lower, upper = (None, None) if lo is None or hi is None else (lo - k * (hi - lo), hi + k * (hi - lo))
+        bound = lambda x: F.lit(x).cast("double")
+        aggs.append(F.struct(F.lit(c).alias("column"), F.count(v).alias("n"), bound(lower).alias("lower"), bound(upper).alias("upper"), F.count_if((v < bound(lower)) | (v > bound(upper))).alias("n_outliers")).alias(f"s{i}"))
+    out = df.agg(*aggs).select(F.explode(F.array(*[f"s{i}" for i in range(len(columns))])).alias("s")).select("s.*").where(F.col("n") >= least)
     return out.withColumn("pct", 100.0 * F.col("n_outliers") / F.col("n"))
 
 
@@ -147,20 +168,70 @@ def profile_of(site: Column) -> Column:
     return out
 
 
-def validate(df: DataFrame, numeric: list[str], key: list[str], date: str, now: str, min_rows: int = 1, max_rows: int | None = None, checks: list = ()) -> DataFrame:  # noqa: B006
-    """(check, column, severity, n): the findings of a table; ``checks`` are callables from the frame to such findings."""
-    stats = column_stats(df, numeric)
-    lit = lambda c, col, sev, n: (F.lit(c).alias("check"), col.alias("column"), sev.alias("severity"), n.cast("long").alias("n"))
+def percent_range(df: DataFrame, columns: list[str], low: float = -100.0, high: float = 1000.0) -> DataFrame:
+    """(column, n, n_outside): percentages that can't be."""
+    v = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    one = df.agg(*[F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.count_if((x < low) | (x > high)).alias("n_outside")).alias(f"s{i}") for i, (c, x) in enumerate(v.items())])
+    return one.select(F.explode(F.array(*[f"s{i}" for i in range(len(columns))])).alias("s")).select("s.*")
+
+
+def required_columns(df: DataFrame, required: list[str]) -> DataFrame:
+    """(column, present, candidate): whether each required column is there, and the first column that its name, in another case or as a part, may mean."""
+    from fathom.sources.structured import resolve_column
+
+    rows = [(c, c in df.columns, None if c in df.columns else resolve_column(df.columns, c)) for c in required]
+    return df.sparkSession.createDataFrame(rows, "column string, present boolean, candidate string")
+
+
+def schema_findings(df: DataFrame, schema: dict[str, str]) -> DataFrame:
+    """(column, expected, found, finding): columns that are missing, of another type, or not in the schema."""
+    have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rows = [(c, t, have.get(c), "missing" if c not in have else "type") for c, t in schema.items() if have.get(c) != t]
+    rows += [(c, None, t, "unknown") for c, t in have.items() if c not in schema]
+    return df.sparkSession.createDataFrame(rows, "column string, expected string, found string, finding string")
+
+
+def empty_frame(spark, schema: dict[str, str]) -> DataFrame:  # noqa: ANN001
+    """A table of a schema without rows."""
+    return spark.createDataFrame([], ", ".join(f"`{c}` {t}" for c, t in schema.items()))
+
+
+def validate(
+    df: DataFrame, numeric: list[str], key: list[str], date: str, now: str, min_rows: int = 1, max_rows: int | None = None, required: list[str] = (), percents: list[str] = (),
+    volumes: list[str] = (), prices: list[str] = (), signed: list[str] = (), series: str | None = None, checks: list = (),  # noqa: B006
+) -> DataFrame:
+    """(check, column, severity, n): the findings of a table. ``signed`` columns may be negative; ``prices`` and ``volumes`` may not. Gaps of
+    dates and jumps of prices are looked for within ``series``. ``checks`` are callables from the frame to such findings."""
+    stats = cut_lineage(column_stats(df, numeric))  # a row per column
+    none = F.lit(None).cast("string")
+    lit = lambda c, col, sev, n: (F.lit(c).alias("check"), col.alias("column"), F.lit(sev).alias("severity") if isinstance(sev, str) else sev.alias("severity"), n.cast("long").alias("n"))
+    strict = {*prices, *volumes}
+    negative = stats.where((F.col("n_negative") > 0) & ~F.col("column").isin(list(signed)))
+    count = df.agg(F.count("*").alias("c"))
+    dates = date_range(df, date, now)
     found = [
         stats.select(*lit("nulls", F.col("column"), null_severity(F.col("null_pct")), F.col("n_null"))).where("severity <> 'ok'"),
-        stats.where("n_negative > 0").select(*lit("negative", F.col("column"), F.lit("warning"), F.col("n_negative"))),
-        duplicates(df, key).where("n_duplicates > 0").select(*lit("duplicates", F.lit(None).cast("string"), F.lit("warning"), F.col("n_duplicates"))),
-        date_range(df, date, now).where("n_future > 0").select(*lit("future dates", F.lit(date), F.lit("warning"), F.col("n_future"))),
-        df.agg(F.count("*").alias("c")).where(F.col("c") < min_rows).select(*lit("too few rows", F.lit(None).cast("string"), F.lit("error"), F.col("c"))),
-        iqr_outliers(df, numeric).where("pct > 5").select(*lit("outliers", F.col("column"), F.lit("warning"), F.col("n_outliers"))),
+        negative.select(*lit("negative", F.col("column"), F.when(F.col("column").isin(list(strict)), "error").otherwise("warning"), F.col("n_negative"))),
+        duplicates(df, key).where("n_duplicates > 0").select(*lit("duplicates", none, "warning", F.col("n_duplicates"))),
+        dates.where("n_future > 0").select(*lit("future dates", F.lit(date), "warning", F.col("n_future"))),
+        dates.where("n_early > 0").select(*lit("early dates", F.lit(date), "warning", F.col("n_early"))),
+        count.where(F.col("c") < min_rows).select(*lit("too few rows", none, "error", F.col("c"))),
+        iqr_outliers(df, numeric).where("pct > 5").select(*lit("outliers", F.col("column"), "warning", F.col("n_outliers"))),
+        zscore_anomalies(df, numeric).where("pct > 5").select(*lit("anomalies", F.col("column"), "warning", F.col("n_anomalies"))),
     ]
     if max_rows is not None:
-        found.append(df.agg(F.count("*").alias("c")).where(F.col("c") > max_rows).select(*lit("too many rows", F.lit(None).cast("string"), F.lit("warning"), F.col("c"))))
+        found.append(count.where(F.col("c") > max_rows).select(*lit("too many rows", none, "warning", F.col("c"))))
+    if required:
+        found.append(required_columns(df, list(required)).where("not present").select(*lit("missing column", F.col("column"), "error", F.lit(1))))
+    if percents:
+        found.append(percent_range(df, list(percents)).where("n_outside > 0").select(*lit("percent range", F.col("column"), "warning", F.col("n_outside"))))
+    if volumes:
+        zeros = df.agg(*[F.struct(F.lit(c).alias("column"), F.count(f"`{c}`").alias("n"), F.count_if(F.col(f"`{c}`") == 0).alias("zero")).alias(f"s{i}") for i, c in enumerate(volumes)])
+        zeros = zeros.select(F.explode(F.array(*[f"s{i}" for i in range(len(volumes))])).alias("s")).select("s.*")
+        found.append(zeros.where("zero > 0.1 * n").select(*lit("zero volumes", F.col("column"), "warning", F.col("zero"))))
+    if series:
+        found.append(date_gaps(df, series, date).agg(F.count("*").alias("c")).where("c > 0").select(*lit("date gaps", F.lit(date), "warning", F.col("c"))))
+        found += [jumps(df, series, [date], p).agg(F.sum("n_jumps").alias("c")).where("c > 0").select(*lit("jumps", F.lit(p), "warning", F.col("c"))) for p in prices]
     found += [c(df) for c in checks]
     out = found[0]
     for f in found[1:]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.text import tokens
+from fathom.session import cut_lineage
 
 MAX_QUERIES = 10_000
 
@@ -43,26 +44,25 @@ def vector_topk(corpus: DataFrame, key: str, vector: str, queries: DataFrame, qu
 
 
 def postings(docs: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
-    """(term, field, key, tf): text fields are tokenised."""
-    parts = [docs.select(F.lit(f).alias("field"), F.col(key), F.explode(tokens(F.coalesce(F.col(c), F.lit("")))).alias("term")) for f, c in fields.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("term", "field", key).agg(F.count("*").alias("tf"))
+    """(term, field, key, tf, dl): terms with their frequency and the length of the field. Texts are tokenised once; a text's terms are counted where it is."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(c), F.lit("")).alias("t")) for f, c in fields.items()]))
+    toks = docs.select(F.col(key), each.alias("x")).select(key, "x.field", tokens(F.col("x.t")).alias("_w")).where(F.size("_w") > 0)
+    return toks.select("field", key, F.size("_w").alias("dl"), F.explode("_w").alias("term")).groupBy("term", "field", key, "dl").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, key: str, fields: dict[str, tuple[str, float]], queries: DataFrame, query: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query, key, score): best of the boosted fields, each the sum over the query's terms. Only the postings of query terms are scored."""
+    """(query, key, score): best of the boosted fields, each the sum over the query's terms. Only terms of the queries are exploded and scored; the
+    lengths of the fields come from the same tokens."""
     q = _few(queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")))
-    lengths = [docs.select(F.lit(f).alias("field"), F.col(key), F.size(tokens(F.coalesce(F.col(c), F.lit("")))).alias("dl")) for f, (c, _) in fields.items()]
-    dl = lengths[0]
-    for x in lengths[1:]:
-        dl = dl.unionByName(x)
-    dl = dl.where("dl > 0")
-    stats = F.broadcast(dl.groupBy("field").agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl")))  # a row per field
-    p = postings(docs, key, {f: c for f, (c, _) in fields.items()}).join(F.broadcast(q.select("term").distinct()), "term", "left_semi")
-    df = p.groupBy("term", "field").agg(F.count("*").alias("df"))
-    j = p.join(df, ["term", "field"]).join(dl, ["field", key]).join(stats, "field").join(q, "term")
+    asked = sorted({r["term"] for r in q.select("term").distinct().collect()})  # of a checked number of queries
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(c), F.lit("")).alias("t")) for f, (c, _) in fields.items()]))
+    toks = docs.select(F.col(key), each.alias("x")).select(key, "x.field", tokens(F.col("x.t")).alias("_w"))
+    wanted = F.filter("_w", lambda w: F.array_contains(F.lit(asked), w)) if asked else F.array().cast("array<string>")
+    told = cut_lineage(toks.select(key, "field", F.size("_w").alias("dl"), wanted.alias("_w")).where("dl > 0"))
+    stats = F.broadcast(told.groupBy("field").agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl")))  # a row per field
+    p = told.select(key, "field", "dl", F.explode("_w").alias("term")).groupBy("term", "field", key, "dl").agg(F.count("*").alias("tf"))
+    df = F.broadcast(p.groupBy("term", "field").agg(F.count("*").alias("df")))  # a row per asked term and field
+    j = p.join(df, ["term", "field"]).join(stats, "field").join(q, "term")
     idf = F.ln(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     boost = F.lit(1.0)
@@ -143,41 +143,44 @@ def greedy_selection(hits: DataFrame, query: str, key: str, text: str, score: st
     return ordered.mapInPandas(take, f"{query} {t(query)}, {key} {t(key)}, rank int")
 
 
-def knn_blocks(corpus: DataFrame, key: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int = 10, block: int = 2_000) -> DataFrame:
-    """Like ``vector_topk`` for query sets of any size: queries go in blocks against the whole corpus, a matrix product per Arrow batch; each
-    task keeps the k best of each query, so blocks x tasks x k rows are shuffled."""
+def knn_blocks(corpus: DataFrame, key: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int = 10, block: int = 2_000, stripes: int | None = None) -> DataFrame:
+    """Like ``vector_topk`` for query sets of any size: blocks of about ``block`` queries meet stripes of the corpus in executors, each pair of them in a
+    task as products of Arrow batches, of which the k best of each query are kept. No vector passes the driver; the corpus goes over the network once
+    for each block of queries, and the queries once for each stripe."""
     import numpy as np
     import pandas as pd
 
-    spark = corpus.sparkSession
-    spans = queries.select(F.col(query).alias("query"), F.col(query_vector).cast("array<double>").alias("v")).withColumn("_b", F.pmod(F.xxhash64("query"), F.lit(1 << 20)))
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    out = None
-    for i in range(blocks):
-        part = spans.where(F.pmod("_b", F.lit(blocks)) == i).drop("_b").toPandas()
-        if part.empty:
-            continue
-        m = np.stack(part["v"].map(np.asarray).to_list())
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        held = spark.sparkContext.broadcast((part["query"].to_numpy(), m))
-
-        def best(rows):  # noqa: ANN001, ANN202
-            names, m = held.value
-            top_s, top_k = None, None
-            for b in rows:
-                v = np.stack(b["v"].map(np.asarray).to_list())
-                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                s = np.round(m @ v.T, 6)
-                ks = np.broadcast_to(b["k"].to_numpy(), s.shape)
-                if top_s is not None:
-                    s, ks = np.concatenate((top_s, s), 1), np.concatenate((top_k, ks), 1)
-                o = np.lexsort((ks, -s), axis=1)[:, :k]
-                top_s, top_k = np.take_along_axis(s, o, 1), np.take_along_axis(ks, o, 1)
+    n_queries = queries.count()
+    blocks = max(1, -(-n_queries // block))
+    stripes = stripes or max(1, corpus.sparkSession.sparkContext.defaultParallelism // blocks)
+    kinds = queries.schema[query].dataType.simpleString(), corpus.schema[key].dataType.simpleString()
+    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = lambda t: F.lit(None).cast(t)
+    vec = lambda c: F.col(c).cast("array<double>").alias("v")
+    q = queries.where(F.col(query_vector).isNotNull()).select(spread(query, blocks).alias("b"), every(stripes).alias("s"), F.lit(0).alias("side"), F.col(query).alias("q"), none(kinds[1]).alias("k"), vec(query_vector))
+    c = corpus.where(F.col(vector).isNotNull()).select(every(blocks).alias("b"), spread(key, stripes).alias("s"), F.lit(1).alias("side"), none(kinds[0]).alias("q"), F.col(key).alias("k"), vec(vector))
+    both = q.unionByName(c).withColumn("_p", (F.col("b") * stripes + F.col("s")).cast("int")).repartitionById(blocks * stripes, "_p").sortWithinPartitions("side")
+
+    def best(batches):  # noqa: ANN001, ANN202
+        names, m, top_s, top_k = [], [], None, None
+        unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        for b in batches:
+            mine, other = b[b["side"] == 0], b[b["side"] == 1]
+            names += mine["q"].tolist()
+            m += [np.asarray(v) for v in mine["v"]]
+            if other.empty or not names:
+                continue
+            if isinstance(m, list):
+                m = unit(np.stack(m))
+            s = np.round(m @ unit(np.stack(other["v"].map(np.asarray).to_list())).T, 6)
+            ks = np.broadcast_to(other["k"].to_numpy(), s.shape)
             if top_s is not None:
-                yield pd.DataFrame({"query": np.repeat(names, top_s.shape[1]), key: top_k.ravel(), "score": top_s.ravel()})
-
-        kinds = queries.schema[query].dataType.simpleString(), corpus.schema[key].dataType.simpleString()
-        got = corpus.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(best, f"query {kinds[0]}, {key} {kinds[1]}, score double")
-        out = got if out is None else out.unionByName(got)
-    return top(out, key, k)
+                s, ks = np.concatenate((top_s, s), 1), np.concatenate((top_k, ks), 1)
+            o = np.lexsort((ks, -s), axis=1)[:, :k]
+            top_s, top_k = np.take_along_axis(s, o, 1), np.take_along_axis(ks, o, 1)
+        if top_s is not None:
+            yield pd.DataFrame({"query": np.repeat(np.array(names), top_s.shape[1]), key: top_k.ravel(), "score": top_s.ravel()})
+
+    got = both.select("side", "q", "k", "v").mapInPandas(best, f"query {kinds[0]}, {key} {kinds[1]}, score double")
+    return top(got, key, k)
