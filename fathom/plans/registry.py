@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.plans import corpus, dealt, payloads, series
+from fathom.plans import corpus, dealt, payloads, series, units
 
-MODULES = [dealt, series, corpus, payloads]
+MODULES = [dealt, series, corpus, payloads, units]
 
 
 def _all() -> list:

@@ -22,6 +22,16 @@ def discover(spark: SparkSession, folder: str, recursive: bool = True) -> DataFr
     return files.select("path", "length", "modificationTime", document_type(F.col("path")).alias("document_type"))
 
 
+def put_texts(spark: SparkSession, texts: dict[str, str]) -> None:
+    """Small files by path, on whatever file system the path names."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path, text in texts.items():
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        out = p.getFileSystem(conf).create(p, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+
 def export_metadata(df: DataFrame, date: str | None = None) -> DataFrame:
     """(property, value) of a table to go with an export."""
     aggs = [F.count("*").cast("string").alias("rows")] + ([F.min(date).cast("string").alias("first"), F.max(date).cast("string").alias("last")] if date else [])
