@@ -2,8 +2,9 @@
 
 Running headers and footers are lines that a document repeats from page to page. Lines are compared after folding what character
 recognition confuses (and standing numbers) to one form, so repetition is fuzzy without comparing lines pairwise: a line is a
-header if its folded form is on at least ``header_share`` of the document's pages (and three of them), or on a third of
-them in a document that is hard-wrapped throughout. The counts of (document, line, page) are aggregated map-side; what comes
+header if its folded form is on at least ``header_share`` of the document's hard-wrapped pages, as scans are, or on three quarters of its other
+pages, and on three of either. So a document of which only a part was scanned keeps its headers, and section titles that recur don't become
+some. The counts of (document, line, page) are aggregated map-side; what comes
 back to the texts is a few hashes per document, joined with AQE's skew handling, so a document with a third of all rows is no hot spot.
 
 Page numbers are lines that only state a page in one of the usual dresses; a bare number counts only where it is the chunk's page or no
@@ -12,7 +13,8 @@ larger than the document's last page, which a year isn't.
 Words broken over two lines are joined across removed lines; the corpus vocabulary decides: a hyphen stays where the
 hyphenated word is known and the joined one isn't. A word is misread if one or two usual confusions turn it into a word at
 least ``ratio`` times as frequent. The vocabulary holds the words with at least a share ``rare`` of all words of the corpus, so it has
-at most 1/``rare`` entries whatever the corpus: that is the proven bound of its broadcast.
+at most 1/``rare`` entries whatever the corpus, of 100 characters at most, as longer words are held by a hash: that is the proven bound of its
+broadcast. Words no entry of the vocabulary has nearly the length of can't be misread from one, and are not looked at.
 
 Defined results: null and blank texts have no noise and stay as they are; rows without document have no headers; rows without
 page number count as a page of their own; repeated chunks count once per page; an empty table gives an empty result.
@@ -20,6 +22,7 @@ page number count as a page of their own; repeated chunks count once per page; a
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -30,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.vectext import batches, code_points, span_hashes, word_spans
+from fathom.session import cut_lineage
 
 # What recognition makes of a letter (or two), and the letters it stood for.
 CONFUSIONS = [
@@ -41,6 +45,7 @@ PAGE = re.compile(
     r"\s*(?:(?P<bare>\d{1,4})|[\[(<{]\s*\d{1,4}\s*[\])>}]|[-–—~•·*=]+\s*\d{1,4}\s*[-–—~•·*=]+|(?:page|pg|p|seite|s|página|pág|pagina)\b\.?\s*\d{1,4}(?:\s*(?:of|/|von|sur|de)\s*\d{1,4})?|\d{1,4}\s*(?:/|of|von|sur)\s*\d{1,4})\s*\.?\s*",
     re.I,
 )
+DIGIT = re.compile(r"\d")
 TRIM = ".,;:?!\"'()[]{}“”‘’«»„…*_"
 
 
@@ -67,7 +72,7 @@ def corrections(word: str, most: int = 2) -> Iterator[str]:
                 i = w.find(a)
                 while i >= 0:
                     v = w[:i] + b + w[i + len(a) :]
-                    if v not in seen and len(seen) < 2000:
+                    if v not in seen:
                         seen.add(v)
                         new.append(v)
                         yield v
@@ -75,12 +80,19 @@ def corrections(word: str, most: int = 2) -> Iterator[str]:
         edge = new
 
 
+def word_key(word: str) -> str:
+    """Words of more than 100 characters are held by a hash."""
+    return word if len(word) <= 100 else f"{len(word)}:{hashlib.blake2b(word.encode('utf-8', 'surrogatepass')).hexdigest()[:64]}"
+
+
 class Words:
     """Verdicts on words against the corpus vocabulary, remembered."""
 
     def __init__(self, counts: dict[str, int], floor: int, ratio: float, least: int) -> None:
         self.counts, self.floor, self.ratio, self.least = counts, floor, ratio, least
         self.known: dict[str, str | None] = {}
+        held = {int(w.split(":")[0]) if ":" in w else len(w) for w in counts}
+        self.lengths = {n + k for n in held for k in (-2, -1, 0, 1, 2)}  # of words that two confusions may turn into one of the vocabulary
 
     def corrected(self, token: str) -> str | None:
         """What a token was misread from, or None if it is no misreading."""
@@ -91,12 +103,12 @@ class Words:
         out = None
         w = token.strip(TRIM).lower()
         raw = token.strip(TRIM.replace("!", "")).lower()
-        n = self.counts.get(w, 0)
+        n = self.counts.get(word_key(w), 0)
         for cand in dict.fromkeys((w, raw)):
-            if len(cand) < self.least or len(cand) > 40 or not any(c.isalpha() for c in cand) or (n and w == raw and n >= 1000 * self.floor):
+            if len(cand) < self.least or len(cand) not in self.lengths or not any(c.isalpha() for c in cand) or (n and w == raw and n >= 1000 * self.floor):
                 continue
             need = self.ratio * max(n, self.floor - 1 if cand.isalpha() else 1)
-            best = max(((self.counts.get(v, 0), v) for v in corrections(cand) if len(v) >= self.least), default=(0, ""))
+            best = max(((self.counts.get(word_key(v), 0), v) for v in corrections(cand) if len(v) >= self.least), default=(0, ""))
             if best[0] >= max(need, 2) and (cand == w or n == 0):
                 out = best[1]
                 break
@@ -104,6 +116,11 @@ class Words:
         return out
 
 
+def page_line(line: str) -> re.Match[str] | None:
+    """The match of a line that only states a page, of any length."""
+    return PAGE.fullmatch(line) if DIGIT.search(line) else None
+
+
 def _plain(line: str) -> bool:
     """A line of prose, not of a table or list."""
     s = line.lstrip()
@@ -122,7 +139,7 @@ def clean(text: str, headers: set[int], page: int | None, last_page: int, words:
     hashes = line_hashes(lines) if headers else None
     kept: list[str] = []
     for i, line in enumerate(lines):
-        m = PAGE.fullmatch(line) if len(line) < 40 and any(c.isdigit() for c in line) else None
+        m = page_line(line)
         if m and (m["bare"] is None or int(m["bare"]) == page or 0 < int(m["bare"]) <= last_page):
             kinds.add("page_number")
         elif hashes is not None and hashes[i] in headers:
@@ -138,7 +155,7 @@ def clean(text: str, headers: set[int], page: int | None, last_page: int, words:
             head, rest = s.lstrip().split(None, 1) if len(s.split(None, 1)) == 2 else (s.strip(), "")
             left = carry[:-1]
             joined, compound = left + head, left + "-" + head
-            known = lambda w: words.counts.get(w.strip(TRIM).lower(), 0)
+            known = lambda w: words.counts.get(word_key(w.strip(TRIM).lower()), 0)
             if head[:1].islower() or not head[:1].isalpha() or head[:1] in "@5!0+£1":
                 if known(compound) and not known(joined) and carry[-1] in "-‐":
                     s = compound + (" " + rest if rest else "")
@@ -183,7 +200,7 @@ def clean(text: str, headers: set[int], page: int | None, last_page: int, words:
 
 def line_hashes(lines: list[str]) -> list[int]:
     """Hashes of the folded lines; 0 for lines that can't be headers."""
-    fit = [i for i, x in enumerate(lines) if 4 <= len(x.strip()) <= 100 and _fit(x)]
+    fit = [i for i, x in enumerate(lines) if len(x.strip()) > 1 and _fit(x)]
     out = [0] * len(lines)
     if fit:
         cp, starts = code_points([fold(lines[i]) for i in fit])
@@ -194,7 +211,7 @@ def line_hashes(lines: list[str]) -> list[int]:
 
 def _fit(line: str) -> bool:
     s = line.strip()
-    return s[0] not in "[•*-#`" and s[-1] not in ".,;:?!" and s.count("|") < 2 and any(c.isalpha() for c in s)
+    return s[0] not in "[•*-#`" and s[-1] not in ".,;:?!" and s.count("|") < 2 and any(c.isalpha() for c in s) and not page_line(line)
 
 
 def vocabulary(docs: DataFrame, text: str, rare: float, least: int = 3) -> tuple[dict[str, int], int]:
@@ -213,17 +230,17 @@ def vocabulary(docs: DataFrame, text: str, rare: float, least: int = 3) -> tuple
                 _, first, n = np.unique(span_hashes(cp, a, b), return_index=True, return_counts=True)
                 for i, k in zip(first.tolist(), n.tolist()):
                     w = cp[a[i] : b[i]].astype("<u4").tobytes().decode("utf-32-le", "replace")
-                    if len(w) <= 40:
-                        total[w] = total.get(w, 0) + k
+                    w = word_key(w)
+                    total[w] = total.get(w, 0) + k
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["w", "n"])
 
-    words = docs.select(text).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    words = cut_lineage(docs.select(text).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")))  # counted once
     total = words.agg(F.sum("n").alias("all")).first()["all"] or 0
     floor = max(least, int(np.ceil(rare * total)))
     return {r["w"]: r["n"] for r in words.where(F.col("n") >= floor).toLocalIterator()}, floor
 
 
-def running_headers(df: DataFrame, document: str, page: str, chunk: str, text: str, share: float = 0.5, wrapped_share: float = 0.3) -> DataFrame:
+def running_headers(df: DataFrame, document: str, page: str, chunk: str, text: str, share: float = 0.5, plain_share: float = 0.75, least: int = 3) -> DataFrame:
     """(document, headers array<long>, last_page): the hashes of each document's running headers and footers."""
 
     def lines(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,10 +258,10 @@ def running_headers(df: DataFrame, document: str, page: str, chunk: str, text: s
     place = F.coalesce(F.col(page).cast("string"), F.concat(F.lit("c"), F.col(chunk).cast("string")))
     src = df.where(F.col(document).isNotNull() & F.col(text).isNotNull()).select(F.col(document).cast("string").alias("d"), place.alias("p"), F.col(text).alias("t"))
     per_page = src.mapInArrow(lines, "d string, p string, h long, wrapped boolean").groupBy("d", "h", "p").agg(F.max("wrapped").alias("wrapped"))
-    per_line = per_page.groupBy("d", "h").agg(F.count("*").alias("n"), F.count_if("wrapped").alias("w"))
-    pages = per_line.where("h = 0").select(F.col("d").alias("pd"), F.col("n").alias("pages"), F.col("w").alias("wrapped_pages"))
-    rows = per_line.where("h <> 0 and n >= 3").join(pages, F.col("d") == F.col("pd"))
-    enough = (F.col("n") >= share * F.col("pages")) & (F.col("wrapped_pages") >= 0.3 * F.col("pages")) | (F.col("n") >= wrapped_share * F.col("pages")) & (F.col("wrapped_pages") >= 0.6 * F.col("pages"))
+    per_line = per_page.groupBy("d", "h").agg(F.count_if("wrapped").alias("w"), F.count_if(~F.col("wrapped")).alias("u"))
+    pages = per_line.where("h = 0").select(F.col("d").alias("pd"), F.col("w").alias("wrapped_pages"), F.col("u").alias("other_pages"))
+    rows = per_line.where((F.col("h") != 0) & ((F.col("w") >= least) | (F.col("u") >= least))).join(pages, F.col("d") == F.col("pd"))
+    enough = (F.col("w") >= least) & (F.col("w") >= share * F.col("wrapped_pages")) | (F.col("u") >= least) & (F.col("u") >= plain_share * F.col("other_pages"))
     found = rows.where(enough).groupBy("d").agg(F.collect_list("h").alias("headers"))  # at most lines-per-page / share
     last = df.where(F.col(document).isNotNull()).groupBy(F.col(document).cast("string").alias("ld")).agg(F.max(F.col(page)).cast("int").alias("last_page"))
     return last.join(found, F.col("ld") == F.col("d"), "left").select(F.col("ld").alias("h_doc"), "headers", "last_page")

@@ -112,6 +112,26 @@ def test_scan_noise(spark):
     assert len(got) == len(rows)
 
 
+def test_headers_of_the_scanned_part_of_a_document_and_of_plain_pages(spark):
+    body = "The survey panel confirms the seasonal pattern for the pilot\ngroup {0} and the research desk reviews the weekly outlook of the\nregional sample {0} before the final ranking of the second epoch."
+    head = "A running header of more than a hundred characters, as some reports have them on top of every page they print"
+    rows = [(i, "part", i, f"c{i}", f"{head}\n" + body.format(f"w{i}")) for i in range(1, 6)]
+    rows += [(100 + i, "part", 100 + i, f"c{100 + i}", f"A whole page {i} in one line of text that goes on and on. " * 5 + ("\nA title" if i < 12 else "")) for i in range(60)]
+    rows += [(300 + i, "plain", i, f"p{i}", f"Annual report\n\nA whole page {i} in one line of text that goes on and on. " * (1 if i < 9 else 0) + "Words.") for i in range(10)]
+    df = spark.createDataFrame(rows, "id long, doc string, page int, chunk string, text string")
+    got = {r.id: set(r.kinds) for r in scans.scan_noise(df, "id", "doc", "page", "chunk", "text").collect()}
+    assert all("running_header" in got[i] for i in range(1, 6)) and not any("running_header" in got[100 + i] for i in range(60))
+    assert all("running_header" in got[300 + i] for i in range(9))
+
+
+def test_long_words_and_long_page_lines():
+    word = "modernisation" * 4
+    words = scans.Words({scans.word_key(w): n for w, n in {word: 500, "x" * 300: 500, "model": 500}.items()}, 3, 20.0, 4)
+    assert words.corrected(word.replace("m", "rn", 1)) == word and words.corrected("rnodel") == "model"
+    assert words.corrected("b" * 5000) is None and words.corrected("q" + "x" * 299) is None
+    assert scans.page_line("-" * 60 + " 12 " + "-" * 60) and not scans.page_line("x" * 60)
+
+
 @pytest.mark.parametrize(("a", "b"), [("Robust basehne model", "Robust baseline model"), ("strati£ied sarnple", "stratified sample"), ("dccision 5urvey", "decision survey"), ("clecision", "decision"), ("voliime", "volume"), ("Week 3 | x", "Week 4 | x")])
 def test_fold(a, b):
     assert scans.fold(a) == scans.fold(b)
