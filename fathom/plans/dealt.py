@@ -68,4 +68,21 @@ g as (select s.feed_id, s.day, v0, v1 from s left join d on s.day = d.day and s.
 l as (select feed_id, '10_year_breakeven_inflation' as field, day, v0 as v from g union all select feed_id, '5y5y_forward_inflation', day, v1 from g),
 c as (select *, last_value(v ignore nulls) over (partition by feed_id, field order by day rows between 5 preceding and current row) as carried from l)
 select feed_id, field, strftime(day, '%Y-%m-%d') as grid_day, round(carried, 6) as value, case when v is not null then 'observed' when carried is not null then 'filled' else 'missing' end as status from c"""
-SQL = {"p3_grid": _GRID, "p3_found": f"select feed_id, field, grid_day from ({_GRID}) where status <> 'observed'"}
+_DAYS = """with l as (select 'dg_ecfin_surveys' as src_table, obs_id as row_key, panel_id as src, 'esi_eu' as field, date::date as day, esi_eu as v from dg_ecfin_surveys union all
+select 'dg_ecfin_surveys', obs_id, panel_id, 'eei_ea', date::date, eei_ea from dg_ecfin_surveys union all
+select 'umcsent_snapshots', snapshot_id, series_id, 'latest_value', try_cast(latest_date as date), latest_value from umcsent_snapshots),
+x as (select * from l where v is not null and not isnan(v)),
+d as (select src_table, src, field, day, arg_min(v, row_key) as v from x where day is not null group by all),
+o as (select *, row_number() over w as r, abs(v - lag(v) over w) as step, v is distinct from lag(v) over w as starts from d window w as (partition by src_table, src, field order by day)),
+u as (select src_table, src, field, median(step) as usual from o group by all),
+g as (select *, sum(starts::int) over (partition by src_table, src, field order by r) as run from o),
+stuck as (select src_table, src, field, day from (select *, count(*) over (partition by src_table, src, field, run) as n from g) where n >= 6),
+w as (select unnest([1, 2, 3]) as k),
+-- one to three readings further than ten usual changes from those on both sides, to which the series returns
+s as (select a.src_table, a.src, a.field, a.r as ra, k, a.v as va, b.v as vb, usual from o a join o b on b.src_table = a.src_table and b.src is not distinct from a.src and b.field = a.field join w on b.r = a.r + k + 1
+join u on u.src_table = a.src_table and u.src is not distinct from a.src and u.field = a.field),
+m as (select s.*, min(least(abs(c.v - va), abs(c.v - vb))) as near from s join o c on c.src_table = s.src_table and c.src is not distinct from s.src and c.field = s.field and c.r > ra and c.r <= ra + k group by all),
+spike as (select o.src_table, o.src, o.field, o.day from m join o on o.src_table = m.src_table and o.src is not distinct from m.src and o.field = m.field and o.r > ra and o.r <= ra + k where near > 10 * usual and abs(va - vb) <= greatest(10 * usual, near / 2)),
+faulty as (select * from stuck union select * from spike)
+select distinct x.src_table, x.row_key, x.field from x left join faulty f on f.src_table = x.src_table and f.src is not distinct from x.src and f.field = x.field and f.day = x.day where x.v <= 0 or f.day is not null"""
+SQL = {"p1_found": _DAYS, "p3_grid": _GRID, "p3_found": f"select feed_id, field, grid_day from ({_GRID}) where status <> 'observed'"}
