@@ -94,4 +94,8 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p5_rejoined": p5_rejoined, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_clean": p7_clean, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p8_offsets": p8_offsets, "p8_spans": p8_spans, "p9_packed": p9_packed, "p9_harmonic": p9_harmonic, "p10_found": p10_found, "p10_rates": p10_rates, "p10_checked": p10_checked}
 # Pieces of 4,003 characters at most that share 200 add 3,803 to those before.
 _REJOINED = "select result_id, text, true as good, case when floor(length(text) / 4) > 1000 then greatest(2, ceil((length(text) - 200) / 3803.0)) else 1 end::bigint as n_pieces from search_chunks"
-SQL = {"p5_found": "select result_id from search_chunks where floor(length(text) / 4) > 1000", "p5_rejoined": _REJOINED, "p8_spans": "select doc_id, coalesce(length(text), 0) as covered, true as good from documents", "p8_decoded": "select doc_id, coalesce(text, '') as text from documents"}
+_NEAR = r"""with w as (select result_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from search_chunks where text is not null),
+s as (select result_id, list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as s from w where len(w) >= 20),
+x as (select a.result_id as a, b.result_id as b, len(a.s) as na, len(b.s) as nb, len(list_intersect(a.s, b.s)) as x from s a join s b on a.result_id < b.result_id and len(a.s) >= 0.7 * len(b.s) and len(b.s) >= 0.7 * len(a.s))
+select a as result_id_a, b as result_id_b from x where x >= 0.7 * (na + nb - x) - 1e-9"""
+SQL = {"p6_found": _NEAR, "p5_found": "select result_id from search_chunks where floor(length(text) / 4) > 1000", "p5_rejoined": _REJOINED, "p8_spans": "select doc_id, coalesce(length(text), 0) as covered, true as good from documents", "p8_decoded": "select doc_id, coalesce(text, '') as text from documents"}
