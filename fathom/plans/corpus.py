@@ -163,7 +163,11 @@ def t05_token_windows(spark: SparkSession, d: str) -> DataFrame:
     return w.select("doc_id", "chunk_index", "n_chunks", "token_count", F.md5("chunk").alias("chunk_md5"), "position")
 
 
-@query()
+@query(r"""with p as (select doc_id, list_filter(list_transform(string_split_regex(text, '\n[ \t\r]*\n'), lambda x: trim(regexp_replace(x, '^\s+|\s+$', '', 'g'), ' ')), lambda x: x <> '') as ps from documents where text is not null),
+r as (select doc_id, list_reduce(ps, lambda a, y: case when length(y) // 4 > 250 then {'d': (case when a.c = '' then a.d else a.d || [a.c] end) || list_transform(generate_series(0, greatest(length(y) - 201, 0), 800), lambda i: trim(substring(y, i + 1, 1000), ' ')), 'c': ''}
+when a.c = '' then {'d': a.d, 'c': y} when length(a.c) // 4 + length(y) // 4 <= 250 then {'d': a.d, 'c': a.c || chr(10) || chr(10) || y} else {'d': a.d || [a.c], 'c': y} end, {'d': []::varchar[], 'c': ''}) as r from p where len(ps) > 0),
+c as (select doc_id, case when r.c = '' then r.d else r.d || [r.c] end as cs from r)
+select doc_id, generate_subscripts(cs, 1) - 1 as chunk_index, unnest(cs) as chunk, length(unnest(cs)) // 4 as token_count from c""")
 def t06_paragraph_pack(spark: SparkSession, d: str) -> DataFrame:
     return chunking.pack_paragraphs(table(spark, d, "documents"), "doc_id", "text", 250)
 
@@ -300,7 +304,9 @@ def w03_carry_forward(spark: SparkSession, d: str) -> DataFrame:
     return chunking.carry_forward(c, "document_id", ["chunk_index", "result_id"], "section_title", "section").select("result_id", "section", (F.row_number().over(w) - 1).alias("nr"))
 
 
-@query()
+@query(r"""with h as (select doc_id, regexp_extract_all(text, '(?m)^(#{1,6})\s+\S.*$', 1) as m, regexp_extract_all(text, '(?m)^#{1,6}\s+(\S.*?)\s*$', 1) as t from documents where text is not null),
+r as (select doc_id, list_reduce(list_transform(m, lambda x, i: {'l': length(x), 't': t[i]}), lambda a, x: list_filter(a, lambda y: y.l < x.l) || [x], []::struct(l bigint, t varchar)[]) as s from h where len(m) > 0)
+select doc_id, list_transform(s, lambda x: x.t) as path from r where len(s) > 0""")
 def w04_heading_paths(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").where("text is not null")
     marks = F.regexp_extract_all("text", F.lit(r"(?m)^(#{1,6})\s+\S.*$"), F.lit(1))

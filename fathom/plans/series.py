@@ -259,7 +259,21 @@ def a15_quality_score(spark: SparkSession, d: str) -> DataFrame:
     return one.join(F.broadcast(dup)).select("n_errors", "n_warnings", F.round(score, 4).alias("score"))  # one row each
 
 
-@query()
+def _validate_sql() -> str:
+    v = lambda c: f"case when not isnan({c}) then {c} end"
+    parts = ["select 'duplicates' as \"check\", null as \"column\", 'warning' as severity, (count(*) - (select count(*) from (select distinct panel_id, date from dg_ecfin_surveys)))::bigint as n from dg_ecfin_surveys having n > 0"]
+    parts += [f"select '{what} dates', 'date', 'warning', count(*) as n from dg_ecfin_surveys where date::date {test} having n > 0" for what, test in (("future", "> date '2020-01-01'"), ("early", "< date '2000-01-01'"))]
+    for c in FIELDS:
+        parts += [
+            f"select 'nulls', '{c}', case when 100.0 * n / all_n > 50 then 'error' else 'warning' end, n from (select count(*) - count({v(c)}) as n, count(*) as all_n from dg_ecfin_surveys) where 100.0 * n / all_n > 10",
+            f"select 'negative', '{c}', 'warning', count(*) as n from dg_ecfin_surveys where {v(c)} < 0 having n > 0",
+            f"""select 'outliers', '{c}', 'warning', n from (select count(*) filter (x < q1 - 3 * (q3 - q1) or x > q3 + 3 * (q3 - q1)) as n, count(x) as m from (select {v(c)} as x from dg_ecfin_surveys), (select quantile_cont({v(c)}, 0.25) as q1, quantile_cont({v(c)}, 0.75) as q3 from dg_ecfin_surveys)) where m >= 10 and n > 0.05 * m""",
+            f"""select 'anomalies', '{c}', 'warning', n from (select count(*) filter (abs({c} - mu) > 3 * sd) as n, count({c}) as m from dg_ecfin_surveys, (select avg({c}) as mu, stddev_samp({c}) as sd from dg_ecfin_surveys)) where m >= 10 and n > 0.05 * m""",
+        ]
+    return " union all ".join(f"({p})" for p in parts)
+
+
+@query(_validate_sql())
 def a18_validate(spark: SparkSession, d: str) -> DataFrame:
     return quality.validate(table(spark, d, "dg_ecfin_surveys"), FIELDS, ["panel_id", "date"], "date", "2020-01-01")
 
@@ -316,7 +330,10 @@ def r04_sessions(spark: SparkSession, d: str) -> DataFrame:
     return s.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
 
 
-@query()
+@query("""with l as (select user_id, list(event_id order by epoch_us(ts), event_id) as ids, list(epoch_us(ts) order by epoch_us(ts), event_id) as us from events where ts is not null group by 1),
+r as (select user_id, ids, list_reduce(us, lambda a, t: {'n': least(5.0, a.n + case when a.last is null then 0 else (t - a.last) / 1e6 * (1 / 3600) end) - case when least(5.0, a.n + case when a.last is null then 0 else (t - a.last) / 1e6 * (1 / 3600) end) >= 1 then 1 else 0 end,
+'last': t, 'ok': a.ok || [least(5.0, a.n + case when a.last is null then 0 else (t - a.last) / 1e6 * (1 / 3600) end) >= 1]}, {'n': 5.0::double, 'last': null::bigint, 'ok': []::boolean[]}) as r from l)
+select user_id, unnest(ids) as event_id, unnest(r.ok) as granted from r""")
 def r03_token_bucket(spark: SparkSession, d: str) -> DataFrame:
     return incremental.token_bucket_trace(table(spark, d, "events"), "user_id", "ts", "event_id", rate=1 / 3600, capacity=5.0)
 
@@ -504,7 +521,8 @@ def s25_largest(spark: SparkSession, d: str) -> DataFrame:
     return frames.top_k(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), [F.desc_nulls_last("s_acctbal"), F.asc("s_suppkey")], 20)
 
 
-@query()
+@query(r"""select case when regexp_matches(trim(response_body::varchar), '^[\[{]') then 'json' when regexp_matches(trim(response_body::varchar), '(?i)^<(!doctype|html|\?xml|table|div)') then 'html'
+when regexp_matches(response_body::varchar, '\\x0[0-8]') then 'binary' else 'text' end as kind, count(*) as n from network_requests where response_body is not null group by 1""")
 def s38_response_types(spark: SparkSession, d: str) -> DataFrame:
     from fathom.sources.files import response_type
 
