@@ -48,14 +48,16 @@ def date_range(df: DataFrame, date: str, now: str, first: str = "2000-01-01") ->
     )
 
 
-def exact_quartiles(df: DataFrame, columns: list[str]) -> list[tuple[float | None, float | None]]:
+def exact_quartiles(df: DataFrame, columns: list[str], few: int = 50_000) -> list[tuple[float | None, float | None]]:
     """The interpolated quartiles of each column. A bounded sketch brackets them, one pass counts what lies below the brackets, and only the values
-    inside - a small share of the table - are ranked exactly. What reaches the driver is one row a pass."""
+    inside - a small share of the table - are ranked exactly; columns of up to ``few`` values are ranked as they are, as a bracket of a share
+    of them may miss their neighbours. What reaches the driver is one row a pass."""
     v = [F.col(f"`{c}`").cast("double") for c in columns]
     v = [F.when(~F.isnan(x), x) for x in v]
     sketch = F.lit(10_000)
-    near = df.agg(*[F.percentile_approx(x, F.array(*[F.lit(p) for p in (0.2495, 0.2505, 0.7495, 0.7505)]), sketch).alias(f"p{i}") for i, x in enumerate(v)]).first()
-    brackets = [[(p[0], p[1]), (p[2], p[3])] if (p := near[f"p{i}"]) else None for i in range(len(columns))]
+    near = df.agg(*[F.percentile_approx(x, F.array(*[F.lit(p) for p in (0.2495, 0.2505, 0.7495, 0.7505)]), sketch).alias(f"p{i}") for i, x in enumerate(v)], *[F.count(x).alias(f"c{i}") for i, x in enumerate(v)]).first()
+    whole = [(-float("inf"), float("inf"))] * 2
+    brackets = [(whole if near[f"c{i}"] <= few else [(p[0], p[1]), (p[2], p[3])]) if (p := near[f"p{i}"]) else None for i in range(len(columns))]
     used = [(i, k, lo, hi) for i, bs in enumerate(brackets) if bs for k, (lo, hi) in enumerate(bs)]
     if not used:
         return [(None, None)] * len(columns)
