@@ -89,3 +89,12 @@ def folder_module(p: Column) -> Column:
     week = F.filter(parts, lambda x: x.rlike(r"(?i)week\s*\d+"))
     other = F.filter(parts, lambda x: ~F.lower(x).isin(ROOT_FOLDERS))
     return F.coalesce(F.get(week, F.lit(0)), F.get(other, F.lit(0)))
+
+
+# Signs of dates in the text of a payload.
+DATE_SIGNS = r"\d{4}-\d{2}-\d{2}|\d{10,13}|\"(?:date|time|timestamp)\""
+
+
+def looks_like_series(body: Column) -> Column:
+    """Whether a payload has dates and a list of at least two flat objects."""
+    return F.coalesce(body.rlike(DATE_SIGNS) & body.rlike(r"\[\s*\{[^{}]+\}\s*,\s*\{"), F.lit(False))

@@ -29,6 +29,17 @@ def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("null_pct", F.coalesce(F.try_divide(100.0 * F.col("n_null"), F.col("n")), F.lit(0.0)))
 
 
+# Parts of a column's name that tell whether its values may be negative, in the order in which they are looked for.
+SIGN_RULES = [("volume", False), ("open_interest", False), ("price", False), ("inflow", True), ("outflow", True), ("change", True)]
+
+
+def negative_findings(stats: DataFrame) -> DataFrame:
+    """(column, n_negative, severity) of columns with negative values: an error where the name rules them out, a warning where it says nothing."""
+    told = F.coalesce(*[F.when(F.contains(F.lower("column"), F.lit(part)), F.lit(ok)) for part, ok in SIGN_RULES])
+    out = stats.where("n_negative > 0").select("column", "n_negative", told.alias("ok"))
+    return out.where("ok is null or not ok").select("column", "n_negative", F.when(F.col("ok").isNull(), "warning").otherwise("error").alias("severity"))
+
+
 def null_severity(null_pct: Column) -> Column:
     return F.when(null_pct > 50, "error").when(null_pct > 10, "warning").otherwise("ok")
 

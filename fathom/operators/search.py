@@ -100,6 +100,15 @@ def fuzzy_terms(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
     return j.withColumn("edits", F.levenshtein("term", "query_term")).where(F.col("edits") <= allowed).select("query_term", "term", "edits")
 
 
+def with_fuzzy_terms(queries: DataFrame, query: str, text: str, vocabulary: DataFrame) -> DataFrame:
+    """The queries with every term of the ``vocabulary`` (term) that one of theirs may mean by ``fuzzy_terms`` added to their text."""
+    own = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    near = fuzzy_terms(vocabulary, own).select(F.col("query_term").alias("term"), F.col("term").alias("meant"))
+    more = own.join(near, "term").groupBy("query").agg(F.array_sort(F.collect_set("meant")).alias("m"))
+    out = queries.join(more, F.col(query) == F.col("query"), "left").select(F.col(query), F.concat_ws(" ", F.col(text), F.array_join("m", " ")).alias(text))
+    return cut_lineage(out)  # a row a query
+
+
 def metadata_filter(df: DataFrame, equal: dict[str, object], any_of: dict[str, list]) -> DataFrame:
     """Scalar values have to be equal, lists to share an element with an array or to contain a scalar."""
     for c, v in equal.items():

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.functions import dates, numbers
+from fathom.functions import dates, numbers, web
 from fathom.functions import text as tx
 from fathom.operators import chunking, frames, linked, quality, rules, search
 from fathom.plans import corpus
 from fathom.session import scratch, table
-from fathom.sources import files, shapes, structured
+from fathom.sources import files, html, shapes, structured
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -263,6 +263,145 @@ def s46_pieces_of_hits(spark: SparkSession, d: str) -> DataFrame:
     return hits.join(chunking.recursive_chunks(texts, "doc_id", "text"), "doc_id").select("query", "doc_id", "rank", "chunk_index", F.md5("chunk").alias("chunk_md5"))
 
 
+def _hybrid_fields_sql() -> str:
+    best = _best_fields_sql()
+    own = best[best.index("qt as ") : best.index("f as (select result_id")]
+    qs = ", ".join(str(q) for q in corpus.QUESTIONS)
+    allowed = "case when length(a) <= 2 then 0 when length(a) <= 5 then 1 else 2 end"
+    vocabulary = f"select distinct unnest({corpus.words('t')}) as b from (select coalesce(text, '') as t from search_chunks union all select coalesce(section_title, '') from search_chunks)"
+    fuzzy = f"""q0 as (select distinct query, unnest(string_split(q, ' ')) as a from qs), vc as ({vocabulary}), qt as (select query, a as term from q0 union select query, b from q0, vc where abs(length(a) - length(b)) <= {allowed} and levenshtein(a, b) <= {allowed}),
+"""
+    scored = best.replace(own, fuzzy)
+    scored = scored[: scored.rindex("select query, result_id, score, row_number()")]
+    return f"""{scored.rstrip()},
+k as (select query, result_id as id, score from (select query, result_id, score, row_number() over (partition by query order by score desc, result_id) as r from (select query, result_id, round(max(s), 6) as score from s group by 1, 2)) where r <= 50),
+qv as (select row_number() over (order by vec_id) as query, embedding::double[] as v from (select * from embeddings where label = 0 order by vec_id limit {len(corpus.QUESTIONS)})),
+ve as (select query, vec_id as id, score from (select query, vec_id, score, row_number() over (partition by query order by score desc, vec_id) as r from (select query, vec_id, round(list_cosine_similarity(embedding::double[], v), 6) as score from embeddings, qv)) where r <= 50),
+kn as (select query, id, case when max(score) over w = min(score) over w then 1 else (score - min(score) over w) / (max(score) over w - min(score) over w) end as s from k window w as (partition by query)),
+vn as (select query, id, case when max(score) over w = min(score) over w then 1 else (score - min(score) over w) / (max(score) over w - min(score) over w) end as s from ve window w as (partition by query)),
+z as (select query, id, round(0.7 * coalesce(vn.s, 0) + 0.3 * coalesce(kn.s, 0), 6) as score from vn full join kn using (query, id))
+select query, id, score, row_number() over (partition by query order by score desc, id) as rank from z qualify rank <= 10"""
+
+
+@query(_hybrid_fields_sql())
+def v03_hybrid_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword hits in boosted fields, with terms that may be misspelt, fused with vector hits."""
+    c = table(spark, d, "search_chunks").withColumn("kw", F.array_join("keywords", " "))
+    vocabulary = c.select(F.explode(tx.tokens(F.concat_ws(" ", "text", "section_title"))).alias("term"))
+    qs = search.with_fuzzy_terms(spark.createDataFrame(corpus.QUESTIONS, "q int, question string"), "q", "question", vocabulary)
+    k = search.top(search.bm25(c, "result_id", {"content": ("text", 2.0), "title": ("section_title", 1.5), "keywords": ("kw", 1.5)}, qs, "q", "question"), "result_id", 50)
+    e = table(spark, d, "embeddings")
+    few = e.where("label = 0").orderBy("vec_id").limit(len(corpus.QUESTIONS))
+    vs = few.select(F.row_number().over(Window.orderBy("vec_id")).alias("q"), F.col("embedding").alias("v"))  # a row a question
+    v = search.vector_topk(e, "vec_id", "embedding", vs, "q", "v", 50).withColumnRenamed("vec_id", "id").drop("rank")
+    return search.top(search.fuse(v, k.withColumnRenamed("result_id", "id").drop("rank"), "id"), "id", 10).select("query", "id", "score", "rank")
+
+
+# ---- pages
+
+
+@query("select result_id, section_title as title, score::varchar as shown from search_chunks where regexp_matches(section_title, '^[A-Za-z0-9 -]+$') and score is not null")
+def s20_selected_texts(spark: SparkSession, d: str) -> DataFrame:
+    """A card of a page for each chunk, read by selectors of ids, classes and descent."""
+    c = table(spark, d, "search_chunks").where(F.col("section_title").rlike("^[A-Za-z0-9 -]+$") & F.col("score").isNotNull())
+    page = F.concat(F.lit('<div class="card wide"><h2 id="t">'), F.col("section_title"), F.lit('</h2><br><p>Score <span class="v x">'), F.col("score").cast("string"), F.lit("</span></p></div><span class=v>0</span>"))
+    return c.select("result_id", html.css_texts(page, "div.card #t")[0].alias("title"), html.css_texts(page, ".card span.v")[0].alias("shown"))
+
+
+@query("select event_id, props as found from events")
+def s21_known_names(spark: SparkSession, d: str) -> DataFrame:
+    """Data under one of several names, or in a script element of its own."""
+    name = F.when(F.col("event_type") == "click", "var chartData").when(F.col("event_type") == "view", "window.seriesData").otherwise("const pageState")
+    script = F.concat(F.lit("<script>"), name, F.lit(" = "), F.col("props"), F.lit(";</script>"))
+    other = F.concat(F.lit('<script id="x" type="application/json">'), F.col("props"), F.lit("</script>"))
+    page = F.when(F.col("event_type") == "error", other).otherwise(script)
+    return table(spark, d, "events").select("event_id", html.any_embedded_json(page, ["chartData", "seriesData", "pageState"]).alias("found"))
+
+
+@query("select o_orderkey, o_orderstatus = 'F' as has_next, o_orderstatus = 'O' as has_previous, o_orderkey + 1 as last_page from orders where o_orderkey < 1000000000")
+def s22_page_links(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    link = F.when(F.col("o_orderstatus") == "F", "<a rel=next>x</a>").when(F.col("o_orderstatus") == "O", "<a>Previous</a>").otherwise("")
+    page = F.concat(F.lit("<a href='?page="), F.col("o_orderkey").cast("string"), F.lit("'>1</a><a href='?q=1&page="), (F.col("o_orderkey") + 1).cast("string"), F.lit("'>2</a>"), link)
+    p = o.select("o_orderkey", html.list_pages(page).alias("p"))
+    return p.select("o_orderkey", "p.has_next", "p.has_previous", "p.last_page")
+
+
+@query("""select s_suppkey, floor(abs(s_acctbal)) * 1e6 as open_interest, case when s_suppkey % 2 = 0 then -floor(abs(s_acctbal)) else floor(abs(s_acctbal)) end as flow from supplier""")
+def s33_snapshot_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of a page in one of two wordings; an interest can't be negative, a flow can."""
+    v = F.floor(F.abs("s_acctbal")).cast("string")
+    page = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("<b>Open Interest</b>: $"), v, F.lit("M. Net flow −$"), v)).otherwise(F.concat(F.lit("OI $"), v, F.lit("M; flows: "), v, F.lit(".")))
+    oi = html.first_of(page, [r"open interest(?:</b>)?:?\s*(\$?[\d.,]+[KMBT]?)", r"\bOI\s*(\$?[\d.,]+[KMBT]?)"])
+    flow = html.first_of(page, [r"net flow\s*([−-]?\$?\d+)", r"flows:\s*([−-]?\$?\d+)"])
+    return table(spark, d, "supplier").select("s_suppkey", tx.once(oi, lambda x: numbers.amount(x)).alias("open_interest"), tx.once(flow, lambda x: numbers.amount(x, True)).alias("flow"))
+
+
+SERIES_BODY = "(regexp_matches(response_body::varchar, '\\\\d{4}-\\\\d{2}-\\\\d{2}|\\\\d{10,13}|\"(?:date|time|timestamp)\"') and regexp_matches(response_body::varchar, '\\\\[\\\\s*\\\\{[^{}]+\\\\}\\\\s*,\\\\s*\\\\{'))"
+
+
+@query(f"select request_id, coalesce({SERIES_BODY}, false) as is_series from network_requests".replace("\\\\", "\\"))
+def f09_series_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "network_requests").select("request_id", web.looks_like_series(F.decode("response_body", "ISO-8859-1")).alias("is_series"))
+
+
+@query("""select 'net_inflow' as "column", 0::bigint as n_negative, '' as severity where false union all select 'price', count(*) filter (c_acctbal < 0), 'error' from customer union all select 'balance', count(*) filter (c_acctbal < 0), 'warning' from customer""")
+def a06_sign_rules(spark: SparkSession, d: str) -> DataFrame:
+    """One column under three names: a flow may be negative, a price may not, of a balance nothing is known."""
+    v = F.col("c_acctbal")
+    return quality.negative_findings(quality.column_stats(table(spark, d, "customer").select(v.alias("net_inflow"), v.alias("price"), v.alias("balance")), ["net_inflow", "price", "balance"]))
+
+
+@query("""select panel_id, nullif(esi_eu, 0) as shown, date as shown_date from (select *, row_number() over (partition by panel_id order by date desc, obs_id desc) as r from dg_ecfin_surveys) where r = 1""")
+def a34_last_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The last row of each survey, its value even if it is null; a value of 0 isn't shown."""
+    last = F.max(F.struct("date", "obs_id", "esi_eu")).alias("l")
+    return table(spark, d, "dg_ecfin_surveys").groupBy("panel_id").agg(last).select("panel_id", F.nullif("l.esi_eu", F.lit(0.0)).alias("shown"), F.col("l.date").alias("shown_date"))
+
+
+# ---- what a text holds
+
+
+@query("""select result_id, concat_ws(chr(10), '# ' || section_title, nullif(array_to_string(list_transform(keywords, lambda k, i: case when (i - 1) % 3 > 0 then repeat('  ', ((i - 1) % 3)::bigint) || '• ' || k else k end), chr(10)), ''),
+'[Speaker Notes: ' || module_name || ']') as slide from search_chunks where section_title is not null and len(keywords) > 0""")
+def t08_slide_levels(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "search_chunks").where("section_title is not null and size(keywords) > 0")
+    levels = F.transform("keywords", lambda k, i: (i % 3).cast("int"))
+    return c.select("result_id", chunking.slide_text(F.col("section_title"), levels, F.col("keywords"), F.col("module_name")).alias("slide"))
+
+
+@query(f"""with w as (select doc_id, {corpus.words("coalesce(text, '')")} as w from documents), i as (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as i from w, (select unnest([1, 2, 3]) as n) where len(w) >= n),
+r as (select doc_id, array_to_string(w[i:i + n - 1], ' ') as phrase, n from i where length(w[i]) >= 4 and length(w[i + n - 1]) >= 4), f as (select doc_id, phrase, n, count(*) as tf from r group by all), g as (select phrase, count(*) as df from f group by 1),
+s as (select doc_id, phrase, tf, round(tf * ln((select count(*) from documents) / df) * n, 6) as score from f join g using (phrase))
+select doc_id, phrase, tf, score, row_number() over (partition by doc_id order by score desc, phrase) as rank from s qualify rank <= 10""")
+def t13_keyphrases(spark: SparkSession, d: str) -> DataFrame:
+    return rules.keyphrases(table(spark, d, "documents"), "doc_id", "text")
+
+
+_KINDS = {"PERCENT": r"\d+(?:\.\d+)?\s?%", "MONEY": r"[$€£]\s?\d[\d,]*(?:\.\d+)?", "DATE": r"\b\d{4}-\d{2}-\d{2}\b", "QUANTITY": r"\b\d+(?:\.\d+)?\s(?:points?|samples?|pages?|weeks?)\b"}
+_FOUND = " union all ".join(f"select doc_id, '{k}' as label, {i} as k, x, pos from (select doc_id, unnest(regexp_extract_all(text, '{p}')) as x, generate_subscripts(regexp_extract_all(text, '{p}'), 1) as pos from documents)" for i, (k, p) in enumerate(_KINDS.items()))
+
+
+@query(f"""with e as ({_FOUND}), u as (select doc_id, label, k, lower(x) as x, min(pos) as pos from e group by all), t as (select *, row_number() over (partition by doc_id order by k, pos) as r from u qualify r <= 20)
+select doc_id, label, count(*) as n, md5(string_agg(x, ',' order by r)) as texts_md5 from t group by 1, 2""")
+def t16_entities(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "documents").select("doc_id", F.posexplode(rules.entities(F.col("text"))).alias("r", "e"))
+    l = F.array_sort(F.collect_list(F.struct("r", F.lower("e.text").alias("x"))))  # noqa: E741  twenty a text
+    g = e.groupBy("doc_id", F.col("e.label").alias("label")).agg(F.count("*").alias("n"), l.alias("l"))
+    return g.select("doc_id", "label", "n", F.md5(F.array_join("l.x", ",")).alias("texts_md5"))
+
+
+@query(f"""select doc_id, coalesce(length(text) // 4, 0) as n_tokens, coalesce(len({corpus.words("text")}), 0)::bigint as n_words, case when contains(lower(text), 'step 1') or contains(lower(text), 'step 2') or contains(lower(text), 'how to') or contains(lower(text), 'let''s') or contains(lower(text), 'we will')
+or contains(lower(text), 'follow these') or contains(lower(text), 'in this tutorial') or contains(lower(text), 'example:') then 'tutorial' when contains(lower(text), 'api reference') or contains(lower(text), 'parameters:') or contains(lower(text), 'returns:') or contains(lower(text), 'syntax:')
+or contains(lower(text), 'arguments:') or contains(lower(text), 'options:') or contains(lower(text), 'methods:') then 'reference' when contains(lower(text), 'introduction') or contains(lower(text), 'overview') or contains(lower(text), 'in this section') or contains(lower(text), 'what is')
+or contains(lower(text), 'this document') or contains(lower(text), 'goals:') then 'overview' else 'unknown' end as intent, text is not null as enriched from documents""")
+def t17_enriched(spark: SparkSession, d: str) -> DataFrame:
+    """All enrichments in one pass; a text that can't be enriched is kept."""
+    t = F.col("text")
+    n_words = F.when(t.isNotNull(), F.size(tx.tokens(t))).otherwise(0).cast("long")
+    return table(spark, d, "documents").select("doc_id", F.coalesce(tx.token_estimate(t), F.lit(0)).alias("n_tokens"), n_words.alias("n_words"), rules.intent(t).alias("intent"), t.isNotNull().alias("enriched"))
+
+
 # ---- payloads of unknown form
 
 SHAPED = """select record_id, case record_id % 5 when 0 then payload when 1 then '[' || payload || ']' when 2 then '[[1, 2], [3, 4]]' when 3 then '[]' else '{"a": ' end as doc from screener_records where json_valid(payload)"""

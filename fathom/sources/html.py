@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+import re
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame, Window
@@ -138,3 +139,81 @@ def list_pages(html: Column) -> Column:
         html.rlike(r'(?i)rel="?next|>\s*next\b').alias("has_next"), html.rlike(r'(?i)rel="?prev|>\s*prev').alias("has_previous"),
         html.rlike(r"(?i)infinite|load-more").alias("infinite"), F.array_max(pages).alias("last_page"),
     )
+
+
+def any_embedded_json(html: Column, names: list[str]) -> Column:
+    """What the first of the script variables holds that is assigned an object or array, else the first JSON script element."""
+    return F.coalesce(*[embedded_json(html, n) for n in names], F.nullif(F.trim(F.get(script_json(html), F.lit(0))), F.lit("")))
+
+
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+
+class _Picker(HTMLParser):
+    """Texts of the elements that a selector of tags, classes, ids and attributes, with blanks for descent, picks."""
+
+    def __init__(self, selector: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.steps = [re.findall(r"([.#]?)([\w-]+)|\[([\w-]+)(?:=[\"']?([^\]\"']*)[\"']?)?\]", part) for part in selector.split()]
+        self.open: list[tuple[str, dict[str, str]]] = []
+        self.inside: list[tuple[int, list[str]]] = []
+        self.found: list[str] = []
+
+    def _fits(self, step: list[tuple[str, str, str, str]], tag: str, attrs: dict[str, str]) -> bool:
+        for sign, name, attr, value in step:
+            if attr:
+                if attr not in attrs or (value and attrs[attr] != value):
+                    return False
+            elif not (name in attrs.get("class", "").split() if sign == "." else attrs.get("id") == name if sign == "#" else tag == name.lower()):
+                return False
+        return True
+
+    def _picked(self) -> bool:
+        steps = list(self.steps)
+        if not steps or not self._fits(steps.pop(), *self.open[-1]):
+            return False
+        for tag, attrs in reversed(self.open[:-1]):
+            if steps and self._fits(steps[-1], tag, attrs):
+                steps.pop()
+        return not steps
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.open.append((tag, {k: v or "" for k, v in attrs}))
+        if self._picked():
+            self.inside.append((len(self.open), []))
+            self.found.append("")
+        if tag in VOID:
+            self.open.pop()
+
+    def handle_data(self, data: str) -> None:
+        for _, texts in self.inside:
+            texts.append(data)
+
+    def handle_endtag(self, tag: str) -> None:
+        at = max((i for i, (t, _) in enumerate(self.open) if t == tag), default=None)
+        if at is None:
+            return
+        while self.inside and self.inside[-1][0] > at:
+            _, texts = self.inside.pop()
+            self.found[len(self.found) - self.found[::-1].index("") - 1] = " ".join("".join(texts).split()) or " "
+        del self.open[at:]
+
+
+def selected(html: str | None, selector: str) -> list[str]:
+    """Texts of the picked elements in the order in which they begin; elements without text or end are left out."""
+    p = _Picker(selector)
+    p.feed(html or "")
+    p.close()
+    return [t for t in p.found if t.strip()]
+
+
+def css_texts(html: Column, selector: str) -> Column:
+    """``selected`` as a column: an Arrow-batched function, as the JVM has no parser of pages."""
+
+    @F.pandas_udf("array<string>")
+    def pick(pages):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series([selected(x, selector) for x in pages], dtype=object)
+
+    return pick(html)
