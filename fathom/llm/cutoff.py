@@ -24,6 +24,7 @@ the same verdict. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -214,6 +215,11 @@ def look(text: str) -> tuple[list[str], str | None, list[str]]:
     return reasons, kind, [] if kind in ("signature", "table", "fence") else end_words(line, kind)
 
 
+def word_key(word: str) -> str:
+    """Words of more than 200 characters are counted and sent by a hash."""
+    return word if len(word) <= 200 else hashlib.blake2b(word.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def sets_terminators(text: str) -> bool:
     """Whether a text with an open end sets terminators before it, where no cut could remove them."""
     *inner, last = [p for p in PARAGRAPHS.split(text) if p.strip()] or [""]
@@ -249,11 +255,11 @@ def _statistics(docs: DataFrame) -> DataFrame:
                 total["source", source, "", 0] += 1
                 longest[source] = max(longest.get(source, 0), len(text))
                 if "terminator" in reasons and not sets_terminators(text):
-                    total["bare", source, text.split()[-1][-40:], len(text)] += 1
+                    total["bare", source, word_key(text.split()[-1]), len(text)] += 1
                 for w in words:
-                    total["title" if kind == "heading" else kind, w[:200], "", 0] += 1
+                    total["title" if kind == "heading" else kind, word_key(w), "", 0] += 1
                 for k, w in inner_ends(text):
-                    total[k, w[:200], "", 0] += 1
+                    total[k, word_key(w), "", 0] += 1
         for source, n in longest.items():
             total["longest", source, "", n] = 1
         columns = [pa.array([k[i] for k in total], pa.string()) for i in range(3)] + [pa.array([k[3] for k in total], pa.int32()), pa.array(list(total.values()), pa.int64())]
@@ -298,7 +304,7 @@ def cut_texts(df: DataFrame, key: str, source: str, text: str, rare: float = 0.0
             for text in r.column(2).to_pylist():
                 reasons, kind, words = look(text) if text else ([], None, [])
                 group = "title" if kind == "heading" else kind
-                if words and group in regular and not all(w[:200] in common[group] for w in words):
+                if words and group in regular and not all(word_key(w) in common[group] for w in words):
                     reasons.append("line")
                 out.append(reasons)
                 bare.append(len(text) if "terminator" in reasons and not sets_terminators(text) else None)

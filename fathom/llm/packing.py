@@ -4,8 +4,8 @@ Harmonic packing groups lengths by how many fit into a container: class k holds
 of them fill a container, so containers can be numbered from ranks alone, without looking at any other item. Alone it leaves a good
 part of each container empty (``harmonic``). ``plan`` therefore works on the same classes, but fills up what a class leaves open: from the
 histogram of lengths - at most ``capacity`` numbers, whatever the corpus - it takes the longest length left, completes it with the
-lengths that fill the container best, and repeats that pattern as often as the histogram allows. Every pattern uses up a length,
-so there are at most ``capacity`` patterns. Documents then find their container from the rank among those of their length.
+lengths that fill the container best, and repeats that pattern as often as the histogram allows. Every pattern uses up a length
+but for a few items, so there are a few patterns a length at most. Documents then find their container from the rank among those of their length.
 
 Ranks are counted within (length, hash of the key). A length has as many hashes as keep its groups at about ``per_group`` items, so one that a
 third of all documents have, or the full containers of texts that are cut, are spread; the driver gets a count a group, a small
@@ -66,7 +66,7 @@ def _pair(some: np.ndarray, have: np.ndarray, r: int) -> int:
     """The larger of two available lengths that add up to r, the largest such; 0 if there are none."""
     half = (r + 1) // 2
     hits = np.flatnonzero(some[half:r] & some[r - half : 0 : -1]) if r > 1 else np.zeros(0, dtype=np.int64)
-    for i in hits[::-1][:2].tolist():
+    for i in hits[::-1][:2].tolist():  # only two equal halves may need more than there are
         if 2 * (half + i) != r or have[half + i] > 1:
             return half + i
     return 0
@@ -85,7 +85,9 @@ def _complete(have: np.ndarray, rest: int) -> list[int]:
         fits = np.flatnonzero(some[1:rest]) + 1
         if not len(fits):
             return out
-        for a in fits[::-1][:256].tolist():  # three that fill it exactly
+        for a in fits[::-1].tolist():  # three that fill it exactly, the longest first
+            if 3 * a < rest:
+                break  # the longest of three is a third at least
             left[a] -= 1
             some[a] = left[a] > 0
             b = _pair(some, left, rest - a)
