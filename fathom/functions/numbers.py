@@ -91,8 +91,9 @@ def is_numeric_cell(c: Column) -> Column:
 
 
 def in_millions(c: Column) -> Column:
-    """Values of a million and more as 'X.XXM', others as they are with two decimals."""
-    return F.when(F.abs(c) >= 1e6, F.format_string("%.2fM", c / 1e6)).otherwise(F.format_string("%.2f", c))
+    """Values of a million and more as 'X.XXM', others as they are with two decimals; halves are rounded up."""
+    two = lambda x: F.round(x, 2).cast("decimal(38,2)").cast("string")
+    return F.when(F.abs(c) >= 1_000_000, F.concat(two(c / 1_000_000), F.lit("M"))).otherwise(two(c))
 
 
 # Parts of a column's name that tell how its values are written, in the order in which they are looked for.

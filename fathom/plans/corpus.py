@@ -475,7 +475,10 @@ def v06_filtered_search(spark: SparkSession, d: str) -> DataFrame:
     return search.vector_topk(corpus, "vec_id", "embedding", _query_vectors(spark, d), "q", "v", 10)
 
 
-@query()
+TWENTIETHS = "select a.vec_id as query, b.vec_id, round(list_cosine_similarity(b.embedding::double[], a.embedding::double[]), 6) as score, b.label from embeddings a, embeddings b where a.vec_id % 20 = 0"
+
+
+@query(f"select query, vec_id, score, row_number() over (partition by query order by score desc, vec_id) as rank from ({TWENTIETHS}) where label in (1, 2) qualify rank <= 10")
 def v06_filtered_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Every row whose id is divisible by 20 against all rows that pass the filter."""
     e = table(spark, d, "embeddings")
@@ -483,7 +486,13 @@ def v06_filtered_blocks(spark: SparkSession, d: str) -> DataFrame:
     return search.knn_blocks(corpus, "vec_id", "embedding", e.where("vec_id % 20 = 0"), "vec_id", "embedding", 10).select("query", "vec_id", "score", "rank")
 
 
-@query()
+@query(f"""with k as (select query as question, doc_id as id, score from (select *, row_number() over (partition by query order by score desc, doc_id) as r from ({_bm25_sql()})) where r <= 50),
+kq as (select vec_id as query, id, score from embeddings join k on question = (vec_id // 20) % {len(QUESTIONS)} + 1 where vec_id % 20 = 0),
+ve as (select query, vec_id as id, score from (select *, row_number() over (partition by query order by score desc, vec_id) as r from ({TWENTIETHS})) where r <= 50),
+kn as (select query, id, case when max(score) over w = min(score) over w then 1 else (score - min(score) over w) / (max(score) over w - min(score) over w) end as s from kq window w as (partition by query)),
+vn as (select query, id, case when max(score) over w = min(score) over w then 1 else (score - min(score) over w) / (max(score) over w - min(score) over w) end as s from ve window w as (partition by query)),
+f as (select query, id, round(0.7 * coalesce(vn.s, 0) + 0.3 * coalesce(kn.s, 0), 6) as score from vn full join kn using (query, id))
+select query, id, score, row_number() over (partition by query order by score desc, id) as rank from f qualify rank <= 10""")
 def v03_hybrid_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Every row whose id is divisible by 20 against all rows, fused with the keyword hits of one of the questions in turn."""
     e = table(spark, d, "embeddings")
@@ -494,7 +503,13 @@ def v03_hybrid_blocks(spark: SparkSession, d: str) -> DataFrame:
     return search.top(search.fuse(v, asked.join(k, "question").select("query", "id", "score"), "id"), "id", 10).select("query", "id", "score", "rank")
 
 
-@query()
+_SAME = "len(list_intersect(y.ws, x.ws))"
+
+
+@query(f"""with h as (select module_name, result_id, list_distinct({words("coalesce(text, '')")}) as ws, score from search_chunks where module_name is not null and score is not null),
+o as (select module_name, list({{'k': result_id, 'ws': ws}} order by score desc, result_id) as l from h group by 1),
+r as (select module_name, list_reduce(l, lambda a, x: case when len(a) < 10 and len(list_filter(a, lambda y: {_SAME} >= 0.85 * greatest(1, len(y.ws) + len(x.ws) - {_SAME}))) = 0 then a || [x] else a end, []::struct(k bigint, ws varchar[])[]) as s from o)
+select module_name, unnest(list_transform(s, lambda x: x.k)) as result_id, generate_subscripts(s, 1) as rank from r""")
 def d10_greedy_selection(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "search_chunks").where("module_name is not null and score is not null")
     return search.greedy_selection(h, "module_name", "result_id", "text", "score")

@@ -34,9 +34,12 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     return n.select("n_regionkey", page.alias("html"))
 
 
-@query("select n_regionkey, n_nationkey::varchar as key, n_name as name from nation")
+@query("""select n_regionkey, n_nationkey::varchar as key, n_name as name from nation union all select distinct n_regionkey, unnest(['All', 'Short', 'Long']), unnest(['All', '', 'x']) from nation""")
 def s18_html_tables(spark: SparkSession, d: str) -> DataFrame:
-    t = html.html_tables(_pages(spark, d), ["n_regionkey"], "html")
+    """Tables with a cell over two columns, a row too short and a row too long."""
+    odd = "<tr><td colspan='2'>All</td></tr><tr><td>Short</td></tr><tr><td>Long<td>x</td><td>y</td></tr></table>"
+    pages = _pages(spark, d).withColumn("html", F.replace("html", F.lit("</table>"), F.lit(odd)))
+    t = html.html_tables(pages, ["n_regionkey"], "html")
     return t.select("n_regionkey", F.col("cells")[0].alias("key"), F.col("cells")[1].alias("name"))
 
 
@@ -179,7 +182,9 @@ def v09_reranked(spark: SparkSession, d: str) -> DataFrame:
     return _reranked(search.vector_topk(e, "vec_id", "embedding", q, "q", "v", 20), e)
 
 
-@query()
+@query("""with s as (select a.vec_id as query, b.vec_id, round(list_cosine_similarity(b.embedding::double[], a.embedding::double[]), 6) as score, b.label from embeddings a, embeddings b where a.vec_id % 20 = 0),
+t as (select *, row_number() over (partition by query order by score desc, vec_id) as rank from s qualify rank <= 20), p as (select label, min(vec_id) as partner from embeddings group by 1)
+select query, vec_id, score, partner, row_number() over (partition by query order by score + case when label = 0 then 0.1 else 0 end desc, vec_id) as rank from t join p using (label)""")
 def v09_reranked_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Every row whose id is divisible by 20 against all rows."""
     e = table(spark, d, "embeddings")

@@ -401,9 +401,9 @@ def x05_currency(spark: SparkSession, d: str) -> DataFrame:
     return _written(spark, d).select("p_partkey", numbers.currency(F.col("raw")).alias("currency"))
 
 
-@query()
+@query("""with c as (select o_orderkey, round(o_totalprice * 100)::bigint as v from orders) select o_orderkey, case when v >= 1000000 then ((v + 5000) // 1000000)::varchar || '.' || lpad((((v + 5000) // 10000) % 100)::varchar, 2, '0') || 'M' else v::varchar || '.00' end as shown from c""")
 def x12_in_millions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", numbers.in_millions(F.col("o_totalprice") * 100).alias("shown"))
+    return table(spark, d, "orders").select("o_orderkey", numbers.in_millions(F.round(F.col("o_totalprice") * 100).cast("decimal(18,2)")).alias("shown"))
 
 
 @query(f"with w as ({NUMBER}) select p_partkey, case when value >= 0 then value end as value, value is null as is_text from w")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,7 +67,7 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
-@udtf(returnType="table_no int, row_no int, header array<string>, cells array<string>")
+@udtf(returnType="table_no int, row_no int, header array<string>, cells array<string>", useArrow=True)
 class HtmlTables:
     """One row per body row of every table of a document; cells are padded or cut to the header."""
 
