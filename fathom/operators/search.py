@@ -6,6 +6,8 @@ scanned once for all queries, and only the k best of each query per partition le
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,10 +59,15 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, tuple[str, float]], querie
     asked = sorted({r["term"] for r in q.select("term").distinct().collect()})  # of a checked number of queries
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(c), F.lit("")).alias("t")) for f, (c, _) in fields.items()]))
     toks = docs.select(F.col(key), each.alias("x")).select(key, "x.field", tokens(F.col("x.t")).alias("_w"))
-    wanted = F.filter("_w", lambda w: F.array_contains(F.lit(asked), w)) if asked else F.array().cast("array<string>")
-    told = cut_lineage(toks.select(key, "field", F.size("_w").alias("dl"), wanted.alias("_w")).where("dl > 0"))
+    toks = toks.select(key, "field", F.size("_w").alias("dl"), "_w").where("dl > 0")
+    if len(asked) <= 256:
+        told = cut_lineage(toks.withColumn("_w", F.filter("_w", lambda w: w.isin(asked)) if asked else F.array().cast("array<string>")))
+        each_term = told.select(key, "field", "dl", F.explode("_w").alias("term"))
+    else:
+        told = toks
+        each_term = toks.select(key, "field", "dl", F.explode("_w").alias("term")).join(F.broadcast(q.select("term").distinct()), "term", "left_semi")
     stats = F.broadcast(told.groupBy("field").agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl")))  # a row per field
-    p = told.select(key, "field", "dl", F.explode("_w").alias("term")).groupBy("term", "field", key, "dl").agg(F.count("*").alias("tf"))
+    p = each_term.groupBy("term", "field", key, "dl").agg(F.count("*").alias("tf"))
     df = F.broadcast(p.groupBy("term", "field").agg(F.count("*").alias("df")))  # a row per asked term and field
     j = p.join(df, ["term", "field"]).join(stats, "field").join(q, "term")
     idf = F.ln(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -152,44 +159,72 @@ def greedy_selection(hits: DataFrame, query: str, key: str, text: str, score: st
     return ordered.mapInPandas(take, f"{query} {t(query)}, {key} {t(key)}, rank int")
 
 
-def knn_blocks(corpus: DataFrame, key: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int = 10, block: int = 2_000, stripes: int | None = None) -> DataFrame:
-    """Like ``vector_topk`` for query sets of any size: blocks of about ``block`` queries meet stripes of the corpus in executors, each pair of them in a
-    task as products of Arrow batches, of which the k best of each query are kept. No vector passes the driver; the corpus goes over the network once
-    for each block of queries, and the queries once for each stripe."""
+def knn_blocks(corpus: DataFrame, key: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int = 10, block: int = 20_000, stripes: int | None = None) -> DataFrame:
+    """Like ``vector_topk`` for query sets of any size, as matrix products of Arrow batches of which the k best of each query are kept. A set of up to
+    ``block`` queries is broadcast and the corpus stays where it is; a larger one is cut into blocks that meet stripes of the corpus in executors,
+    each pair of them in a task: no vector passes the driver then, and the corpus goes over the network once for each block."""
     import numpy as np
     import pandas as pd
 
-    n_queries = queries.count()
-    blocks = max(1, -(-n_queries // block))
-    stripes = stripes or max(1, corpus.sparkSession.sparkContext.defaultParallelism // blocks)
     kinds = queries.schema[query].dataType.simpleString(), corpus.schema[key].dataType.simpleString()
+    vec = lambda c: F.col(c).cast("array<double>").alias("v")
+    asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query).alias("q"), vec(query_vector))
+    rows = corpus.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), vec(vector))
+    columns = f"query {kinds[0]}, {key} {kinds[1]}, score double"
+
+    def unit(vs):  # noqa: ANN001, ANN202
+        m = np.stack([np.asarray(v) for v in vs])
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def best(names, m, parts):  # noqa: ANN001, ANN202
+        """The k best of each query over parts of (keys, unit vectors), a part at most so large that its scores take 80 MB."""
+        top_s = top_k = None
+        for keys, v in parts:
+            step = max(k, 10_000_000 // len(names))
+            for i in range(0, len(keys), step):
+                s = np.round(m @ v[i : i + step].T, 6)
+                ks = np.broadcast_to(keys[i : i + step], s.shape)
+                if top_s is not None:
+                    s, ks = np.concatenate((top_s, s), 1), np.concatenate((top_k, ks), 1)
+                o = np.lexsort((ks, -s), axis=1)[:, :k]
+                top_s, top_k = np.take_along_axis(s, o, 1), np.take_along_axis(ks, o, 1)
+        if top_s is not None:
+            yield pd.DataFrame({"query": np.repeat(np.array(names), top_s.shape[1]), key: top_k.ravel(), "score": top_s.ravel()})
+
+    n = asked.limit(block + 1).count()
+    if n == 0:
+        return top(corpus.sparkSession.createDataFrame([], columns), key, k)
+    if n <= block:
+        few = asked.collect()
+        held = corpus.sparkSession.sparkContext.broadcast(([r["q"] for r in few], unit([r["v"] for r in few])))
+
+        def against_all(batches):  # noqa: ANN001, ANN202
+            yield from best(*held.value, ((b["k"].to_numpy(), unit(b["v"])) for b in batches if len(b)))
+
+        return top(rows.mapInPandas(against_all, columns), key, k)
+    blocks = -(-asked.count() // block)
+    stripes = stripes or max(1, corpus.sparkSession.sparkContext.defaultParallelism // blocks)
     spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     none = lambda t: F.lit(None).cast(t)
-    vec = lambda c: F.col(c).cast("array<double>").alias("v")
-    q = queries.where(F.col(query_vector).isNotNull()).select(spread(query, blocks).alias("b"), every(stripes).alias("s"), F.lit(0).alias("side"), F.col(query).alias("q"), none(kinds[1]).alias("k"), vec(query_vector))
-    c = corpus.where(F.col(vector).isNotNull()).select(every(blocks).alias("b"), spread(key, stripes).alias("s"), F.lit(1).alias("side"), none(kinds[0]).alias("q"), F.col(key).alias("k"), vec(vector))
-    both = q.unionByName(c).withColumn("_p", (F.col("b") * stripes + F.col("s")).cast("int")).repartitionById(blocks * stripes, "_p").sortWithinPartitions("side")
+    left = asked.select(spread("q", blocks).alias("b"), every(stripes).alias("s"), F.lit(0).alias("side"), "q", none(kinds[1]).alias("k"), "v")
+    right = rows.select(every(blocks).alias("b"), spread("k", stripes).alias("s"), F.lit(1).alias("side"), none(kinds[0]).alias("q"), "k", "v")
+    both = left.unionByName(right).withColumn("_p", (F.col("b") * stripes + F.col("s")).cast("int")).repartitionById(blocks * stripes, "_p").sortWithinPartitions("side")
 
-    def best(batches):  # noqa: ANN001, ANN202
-        names, m, top_s, top_k = [], [], None, None
-        unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        for b in batches:
+    def of_stripe(batches):  # noqa: ANN001, ANN202
+        names, vs = [], []
+
+        def parts(first):  # noqa: ANN001, ANN202
+            for b in itertools.chain([first], batches):
+                if len(b):
+                    yield b["k"].to_numpy(), unit(b["v"])
+
+        for b in batches:  # the queries come first
             mine, other = b[b["side"] == 0], b[b["side"] == 1]
             names += mine["q"].tolist()
-            m += [np.asarray(v) for v in mine["v"]]
-            if other.empty or not names:
-                continue
-            if isinstance(m, list):
-                m = unit(np.stack(m))
-            s = np.round(m @ unit(np.stack(other["v"].map(np.asarray).to_list())).T, 6)
-            ks = np.broadcast_to(other["k"].to_numpy(), s.shape)
-            if top_s is not None:
-                s, ks = np.concatenate((top_s, s), 1), np.concatenate((top_k, ks), 1)
-            o = np.lexsort((ks, -s), axis=1)[:, :k]
-            top_s, top_k = np.take_along_axis(s, o, 1), np.take_along_axis(ks, o, 1)
-        if top_s is not None:
-            yield pd.DataFrame({"query": np.repeat(np.array(names), top_s.shape[1]), key: top_k.ravel(), "score": top_s.ravel()})
+            vs += mine["v"].tolist()
+            if len(other) and names:
+                yield from best(names, unit(vs), parts(other))
+                return
 
-    got = both.select("side", "q", "k", "v").mapInPandas(best, f"query {kinds[0]}, {key} {kinds[1]}, score double")
-    return top(got, key, k)
+    return top(both.select("side", "q", "k", "v").mapInPandas(of_stripe, columns), key, k)

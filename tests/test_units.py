@@ -221,12 +221,23 @@ def test_blocks_of_queries_find_the_nearest(spark):
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
     s = np.round(unit @ unit.T, 6)
     want = {(q, int(k)) for q in range(0, 70, 7) for k in np.lexsort((np.arange(70), -s[q]))[:3]}
-    for block, stripes in ((2000, 1), (3, 4)):
+    for block, stripes in ((2000, None), (3, 4), (1, 1)):
         got = search.knn_blocks(df, "id", "v", df.where("id % 7 = 0"), "id", "v", 3, block, stripes).collect()
         assert {(x["query"], x["id"]) for x in got} == want
     assert search.knn_blocks(df.limit(0), "id", "v", df, "id", "v").count() == 0
 
 
+def test_many_query_terms_score_alike(spark):
+    docs = spark.createDataFrame([(i, f"alpha beta w{i} w{i % 7}") for i in range(300)] + [(900, None), (901, "")], "id long, text string")
+    few = spark.createDataFrame([(1, "alpha w3"), (2, "w5 w6")], "q int, t string")
+    many = few.unionByName(spark.createDataFrame([(3, " ".join(f"x{i}" for i in range(300)))], "q int, t string"))
+    score = lambda qs: {(r["query"], r["id"]): r["score"] for r in search.bm25(docs, "id", {"c": ("text", 1.0)}, qs, "q", "t").collect()}
+    assert score(few) == score(many) and len(score(few)) > 300
+    assert search.bm25(docs, "id", {"c": ("text", 1.0)}, few.limit(0), "q", "t").count() == 0
+    fuzzy = search.with_fuzzy_terms(spark.createDataFrame([(1, "alpho"), (2, "zz")], "q int, t string"), "q", "t", docs.select(F.explode(tx.tokens(F.col("text"))).alias("term")))
+    assert {r.q: r.t for r in fuzzy.collect()} == {1: "alpho alpha", 2: "zz"}
+
+
 def test_files_and_streams(spark, tmp_path):
     files.save_raw(spark.createDataFrame([("a", "r1", "x")], "site string, run string, body string"), str(tmp_path / "raw"), "site", "run")
     assert spark.read.parquet(str(tmp_path / "raw")).count() == 1
