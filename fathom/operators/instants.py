@@ -5,8 +5,8 @@ the weights of a mixture of formats to the counts of those sets: the likelihood
 posterior of an interpretation is its format's weight over the sum of the weights of all formats that parse the value. It runs twice: over
 all values of a locale, from a prior that prefers no format, and for each source, with the mixture of its locale as the prior, worth
 ``strength`` values however many the source has. So the values that leave no doubt tell the order of day and month for a
-source, and for its locale where the source has none or few. The largest posterior chooses; below ``min_posterior`` the value is marked
-ambiguous and read in the order customary in its locale.
+source, and for its locale where the source has none or few. The largest posterior chooses. Where no value of the locale tells the order, the
+one customary there counts; where values do and the largest posterior stays below ``min_posterior``, the value is marked ambiguous.
 
 The fits see one row per (source or locale, set of formats): the counts are aggregated map-side, so a hot source costs nothing, and the
 number of sets is bounded by the fixed format list, not by the data. Only values of several interpretations meet the fits in a join.
@@ -229,37 +229,39 @@ def _parsed(t: DataFrame) -> DataFrame:
 
 
 def _locale_mixtures(counts: DataFrame) -> DataFrame:
-    """(l_loc, weights): the mixture of each locale, over all its sources."""
+    """(l_loc, weights, tells): the mixture of each locale, over all its sources, and whether a value of it can be read in one order of day and month only."""
+    orders = {_BIT["dmy"], _BIT["mdy"]}
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             w = [mixture([(_members(s["mask"]), s["n"]) for s in sets], [1.0] * len(FORMATS)) for sets in b["sets"]]
-            yield pd.DataFrame({"l_loc": b["loc"], "weights": w})
+            tells = [any(_members(s["mask"])[0] in orders and len(_members(s["mask"])) == 1 for s in sets) for sets in b["sets"]]
+            yield pd.DataFrame({"l_loc": b["loc"], "weights": w, "tells": tells})
 
     per_set = counts.groupBy("loc", "mask").agg(F.sum("n").alias("n"))
-    return per_set.groupBy("loc").agg(F.collect_list(F.struct("mask", "n")).alias("sets")).mapInPandas(fit, "l_loc string, weights array<double>")
+    return per_set.groupBy("loc").agg(F.collect_list(F.struct("mask", "n")).alias("sets")).mapInPandas(fit, "l_loc string, weights array<double>, tells boolean")
 
 
 def _choices(counts: DataFrame, strength: float) -> DataFrame:
-    """(m_src, m_loc, m_mask, best, posterior): the format that each source gives to its values of several interpretations."""
+    """(m_src, m_loc, m_mask, best, posterior, tells): the format that each source gives to its values of several interpretations."""
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for src, loc, sets, general in zip(b["src"], b["loc"], b["sets"], b["weights"]):
+            for src, loc, sets, general, tells in zip(b["src"], b["loc"], b["sets"], b["weights"], b["tells"]):
                 w = mixture([(_members(s["mask"]), s["n"]) for s in sets], [strength * x for x in general])
                 for mask in sorted(s["mask"] for s in sets):
                     fs = _members(mask)
                     if len(fs) > 1:
                         best = max(fs, key=lambda f: (w[f], -f))
-                        rows.append((src, loc, mask, best, w[best] / sum(w[f] for f in fs)))
-            out = pd.DataFrame(rows, columns=["m_src", "m_loc", "m_mask", "best", "posterior"])
-            yield out.astype({"m_mask": "int32", "best": "int32", "posterior": "float64"})
+                        rows.append((src, loc, mask, best, w[best] / sum(w[f] for f in fs), tells))
+            out = pd.DataFrame(rows, columns=["m_src", "m_loc", "m_mask", "best", "posterior", "tells"])
+            yield out.astype({"m_mask": "int32", "best": "int32", "posterior": "float64", "tells": "bool"})
 
     per_source = counts.groupBy("src", "loc").agg(F.collect_list(F.struct("mask", "n")).alias("sets"))  # at most one row per set of formats
     several = F.exists("sets", lambda s: F.bit_count(s["mask"]) > 1)
     fitted = per_source.where(several).join(_locale_mixtures(counts), F.col("loc").eqNullSafe(F.col("l_loc")))
-    return fitted.mapInPandas(fit, "m_src string, m_loc string, m_mask int, best int, posterior double")
+    return fitted.mapInPandas(fit, "m_src string, m_loc string, m_mask int, best int, posterior double, tells boolean")
 
 
 def normalise_instants(
@@ -267,7 +269,7 @@ def normalise_instants(
 ) -> DataFrame:
     """(row_key, *extra, utc_micros, format, posterior, status): one row per readable value.
 
-    status is certain (one reading, or all readings are the same instant), resolved (the mixture chose) or ambiguous.
+    status is certain (one reading, or all readings are the same instant), resolved (the mixture chose), customary (no value of the locale tells) or ambiguous.
     """
     kept = {"row_key": F.col(key), **(extra or {})}
     t = df.select(*[c.alias(n) for n, c in kept.items()], text.cast("string").alias("t"), source.cast("string").alias("src"), zone.cast("string").alias("tz"), locale.cast("string").alias("loc"))
@@ -286,7 +288,7 @@ def normalise_instants(
     best = F.when(told | ~holds, F.col("best")).otherwise(custom)
     at = F.bit_count(F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1), best) - 1))
     instants = F.size(F.array_distinct("us"))
-    status = F.when(instants == 1, "certain").when(told, "resolved").otherwise("ambiguous")
+    status = F.when(instants == 1, "certain").when(told, "resolved").when(~F.col("tells"), "customary").otherwise("ambiguous")
     more = several.join(choices, same).select(*kept, F.get("us", at).alias("utc_micros"), F.get(names, best).alias("format"), "posterior", status.alias("status"))
     return one.unionByName(more)
 

@@ -55,7 +55,7 @@ def p4_instants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """The unambiguous instants; values whose order of day and month no value of their source or locale tells are in p4_instants only, marked."""
+    """The unambiguous instants; values for whose order of day and month others of their locale speak both ways are in p4_instants only, marked."""
     return p4_instants(spark, d).where("status <> 'ambiguous'").select("src_table", "row_key", "field", "utc_micros")
 
 

@@ -74,14 +74,19 @@ def rows_of(spark, rows, **kw):
 
 def test_rows(spark):
     rows = [(1, "03/04/2021 10:00", "a", "UTC", "en-US", 9), (1, "03/04/2021 10:00", "a", "UTC", "en-US", 9), (2, "03/04/2021 10:00", "b", "Europe/Berlin", "de-DE", 9), (3, None, "a", None, None, 9), (4, "2021-01-01", None, "No/Where", None, 9)]
-    assert rows_of(spark, rows) == [(1, us(2021, 3, 4, 10), "mdy", "ambiguous")] * 2 + [(2, us(2021, 4, 3, 8), "dmy", "ambiguous"), (4, us(2021, 1, 1), "iso", "certain")]
+    assert rows_of(spark, rows) == [(1, us(2021, 3, 4, 10), "mdy", "customary")] * 2 + [(2, us(2021, 4, 3, 8), "dmy", "customary"), (4, us(2021, 1, 1), "iso", "certain")]
     assert rows_of(spark, []) == []
 
 
 def test_values_of_the_source_or_its_locale_resolve(spark):
     tell = [(10 + i, f"0{i}/{13 + i}/2021", "told", "UTC", "en-US", 0) for i in range(1, 9)]
     got = rows_of(spark, [*tell, (1, "03/04/2021", "told", "UTC", "en-US", 0), (2, "03/04/2021", "other", "UTC", "en-US", 0), (3, "03/04/2021", "told", "UTC", "fr-FR", 0), (4, "05/05/2021", "x", "UTC", "fr-FR", 0)])
-    assert got[:4] == [(1, us(2021, 3, 4), "mdy", "resolved"), (2, us(2021, 3, 4), "mdy", "resolved"), (3, us(2021, 4, 3), "dmy", "ambiguous"), (4, us(2021, 5, 5), "dmy", "certain")]
+    assert got[:4] == [(1, us(2021, 3, 4), "mdy", "resolved"), (2, us(2021, 3, 4), "mdy", "resolved"), (3, us(2021, 4, 3), "dmy", "customary"), (4, us(2021, 5, 5), "dmy", "certain")]
+
+
+def test_values_that_speak_both_ways_are_ambiguous(spark):
+    tell = [(10 + i, d, f"s{i}", "UTC", "en-US", 0) for i, d in enumerate(["05/13/2021", "13/05/2021"] * 4)]
+    assert rows_of(spark, [*tell, (1, "03/04/2021", "other", "UTC", "en-US", 0)])[0] == (1, us(2021, 3, 4), "mdy", "ambiguous")
 
 
 def test_query_parameters(spark):

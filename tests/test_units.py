@@ -11,7 +11,7 @@ from fathom import session
 from fathom.functions import numbers, web
 from fathom.functions import text as tx
 from fathom.operators import chunking, citations, dedup, quality, rules, screener, search
-from fathom.sources import files, shapes
+from fathom.sources import files, html, shapes
 from fathom.streaming import incremental
 
 
@@ -253,3 +253,27 @@ def test_a_cluster_needs_a_shared_folder():
     sc = types.SimpleNamespace(_jsc=types.SimpleNamespace(sc=lambda: types.SimpleNamespace(getCheckpointDir=lambda: none)), getConf=lambda: {}, master="spark://host:7077")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(types.SimpleNamespace(sparkContext=sc))
+
+
+def test_selectors_of_pages():
+    page = '<div class="card wide"><h2 id="t">Ti &amp; x</h2><br><p>Score <span class="v x">0.5</span></p></div><span class=v>0</span><a data-k="1" href=x>q</a>'
+    pick = {s: html.selected(page, s) for s in (".card span.v", "span.v", "#t", "div p", "a[data-k=1]", "a[data-k=2]", "h3", "div")}
+    assert pick == {".card span.v": ["0.5"], "span.v": ["0.5", "0"], "#t": ["Ti & x"], "div p": ["Score 0.5"], "a[data-k=1]": ["q"], "a[data-k=2]": [], "h3": [], "div": ["Ti & xScore 0.5"]}
+    assert html.selected("<div><div>in</div> out</div>", "div") == ["in out", "in"] and html.selected(None, "a") == [] and html.selected("<b>open", "b") == []
+
+
+def test_entities_and_phrases(spark):
+    df = spark.createDataFrame([(1, "It rose 5 % on 2024-01-02, then 5 % and $1,200.50 for 12 weeks."), (2, None), (3, "")], "id long, text string")
+    got = {r.id: [(e.text, e.label) for e in r.e] for r in df.select("id", rules.entities(F.col("text")).alias("e")).collect()}
+    assert got == {1: [("5 %", "PERCENT"), ("$1,200.50", "MONEY"), ("2024-01-02", "DATE"), ("12 weeks", "QUANTITY")], 2: [], 3: []}
+    docs = spark.createDataFrame([(1, "gradient descent on a gradient descent"), (2, "other words here"), (3, None)], "id long, text string")
+    best = {r.id: r.phrase for r in rules.keyphrases(docs, "id", "text").where("rank = 1").collect()}
+    assert best[1] == "gradient descent" and set(best) == {1, 2}
+
+
+def test_series_bodies_and_signs(spark):
+    r = one(spark, web.looks_like_series(F.lit('[{"date": 1, "v": 2}, {"date": 2}]')), web.looks_like_series(F.lit('{"date": 1}')), web.looks_like_series(F.lit(None).cast("string")))
+    assert tuple(r) == (True, False, False)
+    df = spark.createDataFrame([(-1.0, -1.0, -1.0, 1.0)], "net_inflow double, price double, other double, volume double")
+    got = {(x.column, x.severity) for x in quality.negative_findings(quality.column_stats(df, df.columns)).collect()}
+    assert got == {("price", "error"), ("other", "warning")}
