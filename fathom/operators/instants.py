@@ -6,7 +6,8 @@ posterior of an interpretation is its format's weight over the sum of the weight
 all values of a locale, from a prior that prefers no format, and for each source, with the mixture of its locale as the prior, worth
 ``strength`` values however many the source has. So the values that leave no doubt tell the order of day and month for a
 source, and for its locale where the source has none or few. The largest posterior chooses. Where no value of the locale tells the order, the
-one customary there counts; where values do and the largest posterior stays below ``min_posterior``, the value is marked ambiguous.
+one customary there counts; where values do, the largest posterior stays below ``min_posterior`` and is not that of the customary order, the
+value is marked ambiguous.
 
 The fits see one row per (source or locale, set of formats): the counts are aggregated map-side, so a hot source costs nothing, and the
 number of sets is bounded by the fixed format list, not by the data. Only values of several interpretations meet the fits in a join.
@@ -234,7 +235,7 @@ def _locale_mixtures(counts: DataFrame) -> DataFrame:
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            w = [mixture([(_members(s["mask"]), s["n"]) for s in sets], [1.0] * len(FORMATS)) for sets in b["sets"]]
+            w = [mixture([(_members(s["mask"]), s["n"]) for s in sets], [0.5] * len(FORMATS)) for sets in b["sets"]]
             tells = [any(_members(s["mask"])[0] in orders and len(_members(s["mask"])) == 1 for s in sets) for sets in b["sets"]]
             yield pd.DataFrame({"l_loc": b["loc"], "weights": w, "tells": tells})
 
@@ -269,7 +270,7 @@ def normalise_instants(
 ) -> DataFrame:
     """(row_key, *extra, utc_micros, format, posterior, status): one row per readable value.
 
-    status is certain (one reading, or all readings are the same instant), resolved (the mixture chose), customary (no value of the locale tells) or ambiguous.
+    status is certain (one reading, or all readings are the same instant), resolved (the mixture chose), customary (no value of the locale tells, or too few for another order) or ambiguous.
     """
     kept = {"row_key": F.col(key), **(extra or {})}
     t = df.select(*[c.alias(n) for n, c in kept.items()], text.cast("string").alias("t"), source.cast("string").alias("src"), zone.cast("string").alias("tz"), locale.cast("string").alias("loc"))
@@ -288,7 +289,7 @@ def normalise_instants(
     best = F.when(told | ~holds, F.col("best")).otherwise(custom)
     at = F.bit_count(F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1), best) - 1))
     instants = F.size(F.array_distinct("us"))
-    status = F.when(instants == 1, "certain").when(told, "resolved").when(~F.col("tells"), "customary").otherwise("ambiguous")
+    status = F.when(instants == 1, "certain").when(told, "resolved").when(~F.col("tells") | (F.col("best") == custom), "customary").otherwise("ambiguous")
     more = several.join(choices, same).select(*kept, F.get("us", at).alias("utc_micros"), F.get(names, best).alias("format"), "posterior", status.alias("status"))
     return one.unionByName(more)
 
