@@ -26,7 +26,7 @@ def position(index: Column, n: Column) -> Column:
 
 def pack_paragraphs(df: DataFrame, key: str, text: str, most: int = 250, overlap: int = 50) -> DataFrame:
     """(key, chunk_index, chunk, token_count): paragraphs packed greedily up to ``most`` estimated tokens; a longer paragraph ends the chunk
-    before it and is cut into windows of ``most`` estimated tokens that share ``overlap``. A fold over the paragraphs of one text, inside the JVM."""
+    before it and is cut into windows of ``most`` estimated tokens that share ``overlap``, half of them at most. A fold over the paragraphs of one text, inside the JVM."""
     paras = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\n[ \t\r]*\n"), lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", ""))), lambda p: p != "")
     size = lambda s: F.floor(F.length(s) / 4)
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
@@ -36,7 +36,7 @@ def pack_paragraphs(df: DataFrame, key: str, text: str, most: int = 250, overlap
         long, fits = size(p) > most, (cur == "") | (size(cur) + size(p) <= most)
         joined = F.when(cur == "", p).otherwise(F.concat(cur, F.lit("\n\n"), p))
         flushed = F.when(cur == "", acc["done"]).otherwise(F.array_append(acc["done"], cur))
-        windows = F.transform(window_starts(F.length(p), 4 * most, 4 * overlap), lambda i: F.trim(F.substring(p, i + 1, F.lit(4 * most))))
+        windows = F.transform(window_starts(F.length(p), 4 * most, 4 * min(overlap, most // 2)), lambda i: F.trim(F.substring(p, i + 1, F.lit(4 * most))))
         done = F.when(long, F.concat(flushed, windows)).when(fits, acc["done"]).otherwise(flushed)
         return F.struct(done.alias("done"), F.when(long, F.lit("")).when(fits, joined).otherwise(p).alias("cur"))
 
