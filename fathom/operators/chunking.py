@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.functions.text import once
+
 
 def window_starts(n: Column, most: int, overlap: int) -> Column:
     """Starts of windows of ``most`` tokens that overlap by ``overlap``; the last is the first that reaches the end."""
@@ -49,11 +51,12 @@ def unit_chunks(df: DataFrame, keys: list[str], text: str, most: int = 1000, ove
     larger one in windows; blank units have no chunk."""
     units = df.select(*keys, F.trim(F.regexp_replace(F.col(text), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")).alias("_u")).where("_u <> ''")
     toks = F.filter(F.split(F.regexp_replace("_u", r"[\s\p{Z}]+", " "), " "), lambda x: x != "")
-    t = units.select(*keys, "_u", toks.alias("_t"))
-    starts = window_starts(F.size("_t"), most, overlap)
-    windows = F.transform(starts, lambda i: F.struct(F.array_join(F.slice("_t", i + 1, F.lit(most)), " ").alias("chunk"), F.least(F.size("_t") - i, F.lit(most)).alias("token_count")))
-    parts = F.when(F.size("_t") <= most, F.array(F.struct(F.col("_u").alias("chunk"), F.size("_t").alias("token_count")))).otherwise(windows)
-    out = t.select(*keys, parts.alias("_p")).select(*keys, F.size("_p").alias("n_chunks"), F.posexplode("_p").alias("chunk_index", "_c"))
+
+    def parts(w: Column) -> Column:
+        windows = F.transform(window_starts(F.size(w), most, overlap), lambda i: F.struct(F.array_join(F.slice(w, i + 1, F.lit(most)), " ").alias("chunk"), F.least(F.size(w) - i, F.lit(most)).alias("token_count")))
+        return F.when(F.size(w) <= most, F.array(F.struct(F.col("_u").alias("chunk"), F.size(w).alias("token_count")))).otherwise(windows)
+
+    out = units.select(*keys, once(toks, parts).alias("_p")).select(*keys, F.size("_p").alias("n_chunks"), F.posexplode("_p").alias("chunk_index", "_c"))
     return out.select(*keys, "chunk_index", "n_chunks", "_c.chunk", "_c.token_count", position(F.col("chunk_index"), F.col("n_chunks")).alias("position"))
 
 
