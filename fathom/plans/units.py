@@ -660,7 +660,7 @@ def r01_incremental(spark: SparkSession, d: str) -> DataFrame:
 
     path = scratch(spark, "hashes")
     schema = table(spark, d, "documents").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    source = spark.readStream.schema(schema).parquet(f"{d}/documents.parque[t]")  # a pattern, as a stream takes no single file but by one; the table may be a folder of files, too
     q = source.select("doc_id", "text").writeStream.foreachBatch(incremental.into_table(path, "text", "doc_id")).option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(path).select("content_hash", "doc_id")

@@ -11,6 +11,7 @@ from fathom import session
 from fathom.functions import numbers, web
 from fathom.functions import text as tx
 from fathom.operators import chunking, citations, dedup, quality, rules, screener, search
+from fathom.plans import units
 from fathom.sources import files, html, shapes
 from fathom.streaming import incremental
 
@@ -248,6 +249,17 @@ def test_files_and_streams(spark, tmp_path):
     assert spark.table("seen").count() == 2
 
 
+@pytest.mark.parametrize("folder", [True, False])
+def test_a_table_of_one_file_or_a_folder_streams(spark, tmp_path, folder):
+    rows = spark.createDataFrame([(2, "A b!"), (1, "a  b"), (3, "c"), (4, None)], "doc_id long, text string")
+    path = tmp_path / "documents.parquet"
+    if folder:
+        rows.repartition(2).write.parquet(str(path))
+    else:
+        rows.toPandas().to_parquet(path)
+    assert sorted(r.doc_id for r in units.r01_incremental(spark, str(tmp_path)).collect()) == [1, 3, 4]
+
+
 def test_a_cluster_needs_a_shared_folder():
     none = types.SimpleNamespace(isDefined=lambda: False)
     sc = types.SimpleNamespace(_jsc=types.SimpleNamespace(sc=lambda: types.SimpleNamespace(getCheckpointDir=lambda: none)), getConf=lambda: {}, master="spark://host:7077")
