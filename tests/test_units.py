@@ -59,6 +59,33 @@ def test_near_texts_are_all_pairs_of_sets(spark, most_sent):
     assert [x.count() for x in dedup.near_texts(frame(spark, ts).limit(0), "id", "text")] == [0, 0]
 
 
+def test_sets_as_near_as_the_limit_share_a_projection():
+    r = random.Random(8)
+    for _ in range(300):
+        a = "".join(r.choice("abcdefghij") for _ in range(r.choice([5, 30, 200, 900])))
+        b = list(a)
+        for _ in range(r.randint(0, max(1, len(a) // 60))):
+            b[r.randrange(len(b))] = r.choice("xyz")
+        g = dedup.Grams([a, "".join(b) + "q" * r.randint(0, 2)], 3)
+        x, y = (set(g.h[g.doc == i].tolist()) for i in (0, 1))
+        for limit in (0.9, 0.92, 0.97):
+            if len(x & y) >= limit * len(x | y):
+                doc, key = dedup.projections(g, limit)
+                assert set(key[doc == 0].tolist()) & set(key[doc == 1].tolist()), (a, b, limit)
+
+
+def test_no_join_of_near_duplicates_is_broadcast(spark):
+    """By the planner's guess, an array takes a few bytes: a table of them was sent to the driver."""
+    ts = texts(40, 5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        for pairs in (dedup.near_texts(frame(spark, ts), "id", "text")[1], dedup.lsh_pairs(frame(spark, ts), "id", "text")[1], dedup.two_stages(frame(spark, ts), "id", "text")):
+            pairs.collect()
+            assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_signatures_estimate_and_bands_find(spark):
     ts = texts(40, 9)
     got = {r.id: (list(r.signature), r.fingerprint) for r in dedup.minhash(frame(spark, ts), "id", "text").collect()}
