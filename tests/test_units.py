@@ -79,7 +79,7 @@ def test_no_join_of_near_duplicates_is_broadcast(spark):
     ts = texts(40, 5)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
     try:
-        for pairs in (dedup.near_texts(frame(spark, ts), "id", "text")[1], dedup.lsh_pairs(frame(spark, ts), "id", "text")[1], dedup.two_stages(frame(spark, ts), "id", "text")):
+        for pairs in (dedup.near_texts(frame(spark, ts), "id", "text")[1], dedup.lsh_pairs(frame(spark, ts), "id", "text")[1], dedup.two_stages(frame(spark, ts), "id", "text"), dedup.stage_stats(dedup.two_stages(frame(spark, ts), "id", "text"))):
             pairs.collect()
             assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
     finally:
