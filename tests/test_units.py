@@ -86,6 +86,37 @@ def test_no_join_of_near_duplicates_is_broadcast(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_no_step_before_the_pairs_is_broadcast(spark, monkeypatch):
+    """The joins behind a checkpoint have plans of their own."""
+    plans, cut = [], dedup.cut_lineage
+
+    def kept(df):
+        out = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(dedup, "cut_lineage", kept)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        dedup.lsh_pairs(frame(spark, texts(40, 5)), "id", "text")
+        dedup.two_stages(frame(spark, texts(40, 5)), "id", "text")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_keys_travel_short_and_in_few_parts(spark):
+    """12 bytes a key, and no more parts than its keys need, however many partitions shuffles have."""
+    docs = dedup._normal(frame(spark, texts(40, 5)), "id", "text")
+    spark.conf.set("spark.sql.shuffle.partitions", "500")
+    try:
+        assert dedup._parts(dedup._sets(docs, 3)[2], 0.1, 2) <= 2 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.unset("spark.sql.shuffle.partitions")
+    rows = dedup._entries(docs, 3, 7, lambda g: dedup.projections(g, 0.92)).collect()
+    assert rows and all(len(r.h) // 4 == len(r.f) // 8 for r in rows)
+
+
 def test_signatures_estimate_and_bands_find(spark):
     ts = texts(40, 9)
     got = {r.id: (list(r.signature), r.fingerprint) for r in dedup.minhash(frame(spark, ts), "id", "text").collect()}
