@@ -105,6 +105,27 @@ def test_no_step_before_the_pairs_is_broadcast(spark, monkeypatch):
     assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
 
 
+def test_sets_of_a_pair_are_made_once(spark):
+    """A function in a column was called in one Python process for the limit and in a second one for the value."""
+    for pairs in (dedup.lsh_pairs(frame(spark, texts(40, 5)), "id", "text")[1], dedup.near_texts(frame(spark, texts(40, 5)), "id", "text")[1]):
+        above = pairs._jdf.queryExecution().optimizedPlan().toString().partition("Join")[0]
+        assert sum(above.count(x) for x in ("MapInArrow", "EvalPython")) == 1
+
+
+def test_long_texts_are_verified_in_groups(spark):
+    """Pairs are verified up to a number of characters at a time; a pair above it stands alone."""
+    r = random.Random(4)
+    ts = {i: "".join(r.choice("abcdefghijklmnopqrst") for _ in range(2000)) for i in range(6)}
+    ts |= {i + 10: t + "ä" * 3 for i, t in ts.items()}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(dedup, "CHARS", 1000)  # goes to the workers with the function
+        pairs = dedup.lsh_pairs(frame(spark, ts), "id", "text")[1].collect()
+    assert {(x.a, x.b) for x in pairs} <= {(i, i + 10) for i in range(6)} and len(pairs) >= 3
+    for x in pairs:
+        a, b = grams(ts[x.a]), grams(ts[x.b])
+        assert abs(x.similarity - len(a & b) / len(a | b)) < 1e-12
+
+
 def test_keys_travel_short_and_in_few_parts(spark):
     """12 bytes a key, and no more parts than its keys need, however many partitions shuffles have."""
     docs = dedup._normal(frame(spark, texts(40, 5)), "id", "text")
